@@ -137,22 +137,24 @@ def _map_entries(col: Column, prefix: str) -> Column:
     )
 
 
+def _named_entries(name: str) -> Column:
+    """Entries of one map column as structs that also carry the column's name."""
+    return F.transform(
+        F.map_entries(quoted(name)),
+        lambda e: F.struct(
+            F.lit(name).alias("column"),
+            e["key"].cast("string").alias("key"),
+            F.coalesce(e["value"].cast("string"), F.lit("")).alias("value"),
+        ),
+    )
+
+
 def flatten_map(df: DataFrame, view: LogView, columns: Sequence[str] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """(kept columns, column, key, value) for every entry of the map columns; empty maps give no row."""
     scope = Scope(df, view)
     cols = list(columns) if columns is not None else scope.map_columns
     keep = list(view.row_id) if keep is None else list(keep)
-    groups = [
-        F.transform(
-            F.map_entries(quoted(c)),
-            lambda e, c=c: F.struct(
-                F.lit(c).alias("column"),
-                e["key"].cast("string").alias("key"),
-                F.coalesce(e["value"].cast("string"), F.lit("")).alias("value"),
-            ),
-        )
-        for c in cols
-    ]
+    groups = [_named_entries(c) for c in cols]
     if not groups:
         raise ValueError("the table has no map column")
     safe = [F.coalesce(g, F.array().cast("array<struct<column string, key string, value string>>")) for g in groups]
