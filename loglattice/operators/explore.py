@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,24 +97,34 @@ def _text_schema(paths) -> T.StructType | None:
     return build(tree)
 
 
-def row_key(df: DataFrame, view: LogView) -> Column:
-    """Content key over timestamp, body, severity and service.
-
-    Equal for equal content whether the frame is the narrow projection or the full row; NULL and
-    unmapped parts are left out of the keyed object, so they cannot be confused with text.
-    """
-    parts = []
+def _key_parts(df: DataFrame, view: LogView) -> dict[str, Column]:
+    """The key columns a frame has, under their narrow alias or their own name."""
+    scope = Scope(df, view)
+    parts = {}
     for role in KEY_ROLES:
         alias, name = ROLE_ALIASES[role], getattr(view, role)
         if alias in df.columns:
-            parts.append(quoted(alias).alias(role))
+            parts[role] = quoted(alias)
         elif name:
-            hit = Scope(df, view).resolve(name)
+            hit = scope.resolve(name)
             if hit is not None:
-                parts.append(hit.column.alias(role))
+                parts[role] = hit.column
     if not parts:
         raise ValueError("no part of the content key is mapped")
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
+    return parts
+
+
+def row_key(df: DataFrame, view: LogView) -> Column:
+    """Content key over timestamp, body, severity and service; never NULL.
+
+    Equal for equal content whether the frame is the narrow projection or the full row.  Each part
+    is written with its length in front and NULL as a dash, so no two contents read the same.
+    """
+    written = []
+    for col in _key_parts(df, view).values():
+        text = col.cast("string")
+        written.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.coalesce(F.sha2(F.concat(*written), 256), F.lit(""))
 
 
 def with_row_key(df: DataFrame, view: LogView, out: str = "row_key") -> DataFrame:
@@ -232,10 +243,14 @@ def hydrate(
     reduced to one row before the join, so a key shared by many rows stays one row.
     """
     rows = filter_logs(df, view, time_range(*time)) if time else df
+    if narrow_rows is not None and narrow_rows <= BROADCAST_ROWS:
+        # compare the columns themselves, so only the few survivors are hashed
+        theirs, ours = _key_parts(narrow, view), _key_parts(rows, view)
+        wanted = narrow.select(*[c.alias(f"__n_{r}") for r, c in theirs.items()])
+        same = [c.eqNullSafe(F.col(f"__n_{r}")) for r, c in ours.items() if r in theirs]
+        rows = rows.join(F.broadcast(wanted), reduce(lambda a, b: a & b, same), "left_semi")
     keyed = rows.withColumn("__key", row_key(rows, view))
     left = narrow.withColumn("__key", row_key(narrow, view))
-    if narrow_rows is not None and narrow_rows <= BROADCAST_ROWS:
-        keyed = keyed.join(F.broadcast(left.select("__key")), "__key", "left_semi")
     tie = F.struct(*[quoted(r) for r in view.row_id]) if view.row_id else F.xxhash64(F.to_json(F.struct(*df.columns)))
     one = keyed.groupBy("__key").agg(F.min_by(F.struct(*[quoted(c) for c in df.columns]), tie).alias("__row"))
     joined = left.join(broadcast_if_bounded(one, narrow_rows), "__key", "left")

@@ -86,30 +86,28 @@ def as_variant(col: Column, dtype: T.DataType) -> Column:
     return col if isinstance(dtype, T.VariantType) else F.try_parse_json(col)
 
 
+def _entries(v: Column) -> Column:
+    """Members of a VARIANT object; NULL when it is no object."""
+    return F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def _opened(path: Column, v: Column, depth: int) -> Column:
+    """Leaves below one member: its own members opened in turn, or the member itself."""
+    itself = F.array(F.struct(path.alias("path"), v.alias("value")))
+    if depth <= 0:
+        return itself
+    below = F.transform(_entries(v), lambda e: _opened(F.concat(path, F.lit("."), e["key"]), e["value"], depth - 1))
+    return F.coalesce(F.flatten(below), itself)
+
+
 def variant_leaves(value: Column, max_depth: int = MAX_DEPTH) -> Column:
     """Dotted leaves of a VARIANT object as an array of (path, value), in one expression.
 
-    Objects are opened level by level inside the row, so the table is scanned once and nothing is
-    shuffled.  Arrays and scalars are leaves; an object below ``max_depth`` stays a leaf, whole.
+    Objects are opened inside the row and every node is looked at once, so the table is scanned once
+    and nothing is shuffled.  Arrays and scalars are leaves; an object below ``max_depth`` stays a
+    leaf, whole.
     """
-    kind = "map<string,variant>"
-
-    def entries(v: Column, prefix: Column | None) -> Column:
-        obj = F.try_variant_get(v, "$", kind)
-        return F.transform(
-            F.map_entries(obj),
-            lambda e: F.struct(
-                (e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])).alias("path"),
-                e["value"].alias("value"),
-            ),
-        )
-
-    leaves = entries(value, None)
-    for _ in range(max_depth - 1):
-        leaves = F.flatten(
-            F.transform(leaves, lambda x: F.coalesce(entries(x["value"], x["path"]), F.array(x)))
-        )
-    return leaves
+    return F.flatten(F.transform(_entries(value), lambda e: _opened(e["key"], e["value"], max_depth - 1)))
 
 
 def leaf_text(v: Column) -> Column:

@@ -110,7 +110,7 @@ def split_server_time(
         spans.filter(F.col("kind").isin("decode", server_kind))
         .groupBy(F.col("parent_id").alias("id"))
         .agg(
-            F.min_by(F.when(F.col("kind") == "decode", F.col("start_ms")), F.when(F.col("kind") == "decode", F.struct("start_ms", "id"))).alias("decode_start"),
+            F.min(F.when(F.col("kind") == "decode", F.col("start_ms"))).alias("decode_start"),
             F.bool_or(F.col("kind") == server_kind).alias("has_server"),
         )
     )

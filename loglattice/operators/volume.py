@@ -160,7 +160,10 @@ def severity_rank(level: Column) -> Column:
 
 
 def rank_levels(vol: DataFrame) -> DataFrame:
-    """(level, total, rank): largest total first, 'Other' last whatever its total."""
+    """(level, total, rank): largest total first, 'Other' last whatever its total.
+
+    Levels are few (a breakdown has ``top`` + 1), so one task ranks them.
+    """
     totals = vol.groupBy("level").agg(F.sum("count").alias("total"))
     w = Window.orderBy((F.col("level") == OTHER).asc(), F.desc("total"), F.asc("level"))
     return totals.select("level", "total", F.row_number().over(w).alias("rank"))

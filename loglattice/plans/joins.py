@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +41,3 @@ def join_group_facts(
     spread = F.when(F.col(size_col) > hot_rows, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     salted_facts = facts.withColumn("__salt", F.explode(spread))
     return salted_rows.join(salted_facts, [on, "__salt"], how).drop("__salt")
-
-
-def null_safe(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    cond = None
-    for c in columns:
-        eq = left[c].eqNullSafe(right[c])
-        cond = eq if cond is None else cond & eq
-    return cond
