@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loglattice.catalog.common import PREFIX, QLOG_SQL, SPANS_SQL, query_log, spans, table
-from loglattice.functions.text import findings, last_limit, strip_literals
+from loglattice.functions.text import strip_literals
 from loglattice.operators.querylog import (
     audit_sql, correlate, correlation_status, efficiency_report, parse_tag, query_log_for, redact, split_server_time, warnings, with_truncation,
 )
@@ -117,7 +117,7 @@ SQL["redact_ident_docs"] = r"""SELECT doc_id, regexp_replace(regexp_replace(text
 
 LIMIT_SQL = rf"CAST(list_last(regexp_extract_all({strip_sql('query')}, '(?i)\bLIMIT\s+(\d+)', 1)) AS BIGINT)"
 QUERIES["truncation"] = lambda s, d: with_truncation(query_log(s, d), "query", "result_rows").select(
-    "query_id", last_limit(F.col("query")).alias("row_limit"), "truncated"
+    "query_id", "row_limit", "truncated"
 )
 SQL["truncation"] = f"SELECT query_id, {LIMIT_SQL} AS row_limit, result_rows >= {LIMIT_SQL} AS truncated FROM ({QLOG_SQL})"
 

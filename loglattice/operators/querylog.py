@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions.fields import quoted
 from loglattice.functions.literals import timestamp_literal, naive_utc
-from loglattice.functions.text import FINDINGS, findings, redact_words, strip_literals, truncated
+from loglattice.functions.text import FINDINGS, findings, last_limit, redact_words, strip_literals
 
 # Event types that end a query.
 FINAL_TYPES = ("QueryFinish", "ExceptionWhileProcessing", "ExceptionBeforeStart")
@@ -170,9 +170,9 @@ def warnings(spans: DataFrame, unpaged_ops: Sequence[str] = UNPAGED_OPS) -> Data
         return F.struct(sev.alias("severity"), name.alias("finding"), detail.alias("detail"))
 
     none = F.lit(None).cast("string")
-    sev_of = F.create_map(*[x for k, (_, s) in FINDINGS.items() for x in (F.lit(k), F.lit(s))])
+    sev_of = F.create_map(*[x for k, (_, _, s) in FINDINGS.items() for x in (F.lit(k), F.lit(s))])
     audit = F.transform(
-        F.when(is_query, findings(text)).otherwise(F.array().cast("array<string>")),
+        F.when(is_query, findings(F.col("__clean"))).otherwise(F.array().cast("array<string>")),
         lambda k: item(F.element_at(sev_of, k), k, none),
     )
     code = col("server_exception_code", "bigint")
@@ -186,7 +186,8 @@ def warnings(spans: DataFrame, unpaged_ops: Sequence[str] = UNPAGED_OPS) -> Data
         )
     )
     rank = F.create_map(*[x for k, v in WARNING_RANK.items() for x in (F.lit(k), F.lit(v))])
-    found = spans.select("root_id", F.col("id").alias("span_id"), "name", F.inline(F.concat(audit, rest)))
+    cleaned = spans.withColumn("__clean", strip_literals(text))
+    found = cleaned.select("root_id", F.col("id").alias("span_id"), "name", F.inline(F.concat(audit, rest)))
     return found.select(
         "root_id", "span_id", "name", "severity", F.element_at(rank, F.col("severity")).alias("rank"), "finding", "detail"
     )
@@ -195,7 +196,8 @@ def warnings(spans: DataFrame, unpaged_ops: Sequence[str] = UNPAGED_OPS) -> Data
 def audit_sql(qlog: DataFrame, column: str, op: Column) -> DataFrame:
     """(op, finding, count) over a query-log text column."""
     return (
-        qlog.select(op.alias("op"), F.explode(findings(quoted(column))).alias("finding"))
+        qlog.select(op.alias("op"), strip_literals(quoted(column)).alias("__clean"))
+        .select("op", F.explode(findings(F.col("__clean"))).alias("finding"))
         .groupBy("op", "finding")
         .agg(F.count("*").alias("count"))
     )
@@ -207,5 +209,7 @@ def redact(df: DataFrame, column: str, words: Sequence[str] = (), literals: bool
     return df.withColumn(column, redact_words(text, words))
 
 
-def with_truncation(qlog: DataFrame, sql: str, rows: str, out: str = "truncated") -> DataFrame:
-    return qlog.withColumn(out, truncated(quoted(sql), quoted(rows)))
+def with_truncation(qlog: DataFrame, sql: str, rows: str, out: str = "truncated", limit_out: str = "row_limit") -> DataFrame:
+    """Adds the row cap of each query text and whether its result reached it; NULL without a LIMIT."""
+    capped = qlog.withColumn(limit_out, last_limit(strip_literals(quoted(sql))))
+    return capped.withColumn(out, quoted(rows) >= quoted(limit_out))
