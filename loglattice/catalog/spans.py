@@ -82,7 +82,7 @@ QUERIES["action_summary"] = lambda s, d: action_summary(
     order_spans(s, d), F.col("kind").isin("server", "transport"), F.col("read_rows"), F.col("read_rows") * 8
 )
 SQL["action_summary"] = f"""
-  SELECT root_id, greatest(CASE WHEN count(*) = count(end_ms) THEN max(end_ms) END - max(CASE WHEN parent_id IS NULL THEN start_ms END), 0) AS duration_ms,
+  SELECT root_id, CASE WHEN count(*) = count(end_ms) THEN greatest(max(end_ms) - max(CASE WHEN parent_id IS NULL THEN start_ms END), 0) END AS duration_ms,
          count(*) FILTER (WHERE q) AS n_queries, CAST(coalesce(sum(read_rows) FILTER (WHERE q), 0) AS BIGINT) AS read_rows,
          CAST(coalesce(sum(read_rows * 8) FILTER (WHERE q), 0) AS BIGINT) AS read_bytes,
          count(*) FILTER (WHERE q AND read_rows IS NOT NULL) > 0 AS has_server_stats

@@ -154,7 +154,7 @@ def waterfall(spans: DataFrame, now_ms: float | Column | None = None, hot_rows:
     total = F.greatest(end - F.col("root_start"), F.lit(1.0))
     duration = F.greatest(F.coalesce("end_ms", now) - F.col("start_ms"), zero)
     rows = rows.withColumn("duration_ms", F.when(F.coalesce("end_ms", now).isNotNull(), duration))
-    rows = rows.withColumn("total_ms", F.when(end.isNotNull(), total))
+    rows = rows.withColumn("total_ms", F.when((end - F.col("root_start")).isNotNull(), total))
     offset = F.least(F.greatest((F.col("start_ms") - F.col("root_start")) / F.col("total_ms") * 100, zero), hundred)
     rows = rows.withColumn("offset_pct", F.when(F.col("total_ms").isNotNull(), offset))
     share = F.col("duration_ms") / F.col("total_ms") * 100
@@ -185,14 +185,17 @@ def phase_breakdown(spans: DataFrame, phases: Sequence[str] = PHASES) -> DataFra
 
 
 def action_summary(spans: DataFrame, is_query: Column, read_rows: Column | None = None, read_bytes: Column | None = None, now_ms: float | None = None) -> DataFrame:
-    """Per root: how long its tree took (never negative), how many query spans, rows and bytes read."""
+    """Per root: how long its tree took (never negative), how many query spans, rows and bytes read.
+
+    A tree with a running span is measured up to ``now_ms``, NULL when that is not given.
+    """
     now = F.lit(None).cast("double") if now_ms is None else F.lit(float(now_ms))
     rr = F.lit(None).cast("bigint") if read_rows is None else read_rows
     rb = F.lit(None).cast("bigint") if read_bytes is None else read_bytes
     start = F.max(F.when(F.col("parent_id").isNull(), F.col("start_ms")))
     end = F.when(F.count_if(F.col("end_ms").isNull()) == 0, F.max("end_ms"))
     return spans.groupBy("root_id").agg(
-        F.greatest(F.coalesce(end, now) - start, F.lit(0.0)).alias("duration_ms"),
+        F.when(F.coalesce(end, now).isNotNull(), F.greatest(F.coalesce(end, now) - start, F.lit(0.0))).alias("duration_ms"),
         F.count_if(is_query).alias("n_queries"),
         F.coalesce(F.sum(F.when(is_query, rr)), F.lit(0)).alias("read_rows"),
         F.coalesce(F.sum(F.when(is_query, rb)), F.lit(0)).alias("read_bytes"),
