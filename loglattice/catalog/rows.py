@@ -115,3 +115,7 @@ SQL["compare_groups"] = """
   SELECT conv_id, field, count(DISTINCT value) AS n_values, count(*) AS n_rows, count(DISTINCT value) > 1 AS differs
   FROM l GROUP BY conv_id, field
 """
+
+# the same list, timestamps first, as on inputs of very many tasks
+QUERIES["list_recent_time_first"] = lambda s, d: explore(events(s, d), EVENTS, P.eq("event_type", "error"), time_first=True)
+SQL["list_recent_time_first"] = SQL["list_recent"]

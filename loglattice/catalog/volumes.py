@@ -57,13 +57,13 @@ SQL["vol_field_top_null"] = top_sql(
 )
 
 for unit in ("minute", "hour", "day"):
-    QUERIES[f"bucket_{unit}"] = lambda s, d, unit=unit: volume(events(s, d), EVENTS, unit)
-    SQL[f"bucket_{unit}"] = f"SELECT {at('1 ' + unit)} AS time, '' AS level, count(*) AS count FROM events GROUP BY 1"
-QUERIES["bucket_seconds"] = lambda s, d: volume(events(s, d), EVENTS, 45)
-SQL["bucket_seconds"] = f"SELECT {at('45 seconds')} AS time, '' AS level, count(*) AS count FROM events GROUP BY 1"
+    QUERIES[f"bucket_fixed_{unit}"] = lambda s, d, unit=unit: volume(events(s, d), EVENTS, unit)
+    SQL[f"bucket_fixed_{unit}"] = f"SELECT {at('1 ' + unit)} AS time, '' AS level, count(*) AS count FROM events GROUP BY 1"
+QUERIES["bucket_fixed_seconds"] = lambda s, d: volume(events(s, d), EVENTS, 45)
+SQL["bucket_fixed_seconds"] = f"SELECT {at('45 seconds')} AS time, '' AS level, count(*) AS count FROM events GROUP BY 1"
 for unit in ("week", "month", "year"):
-    QUERIES[f"bucket_{unit}"] = lambda s, d, unit=unit: volume(table(s, d, "orders"), ORDERS, unit, by="severity")
-    SQL[f"bucket_{unit}"] = f"""SELECT CAST(date_trunc('{unit}', o_orderdate) AS TIMESTAMP) AS time, o_orderpriority AS level, count(*) AS count
+    QUERIES[f"bucket_calendar_{unit}"] = lambda s, d, unit=unit: volume(table(s, d, "orders"), ORDERS, unit, by="severity")
+    SQL[f"bucket_calendar_{unit}"] = f"""SELECT CAST(date_trunc('{unit}', o_orderdate) AS TIMESTAMP) AS time, o_orderpriority AS level, count(*) AS count
       FROM orders GROUP BY 1, 2"""
 
 # 17.5 days over sixty buckets is seven hours, so the next step: one day

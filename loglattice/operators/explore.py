@@ -14,7 +14,9 @@ from loglattice.functions.fields import Scope, json_path, quoted
 from loglattice.functions.literals import naive_utc, timestamp_literal
 from loglattice.operators.predicates import Predicate, filter_logs, time_range
 from loglattice.plans.joins import BROADCAST_ROWS, broadcast_if_bounded
+from loglattice.plans.durable import durable
 from loglattice.plans.ordered import into_blocks, running_sum
+from loglattice.plans.topk import bounded_by_time, within
 from loglattice.view import ROLE_ALIASES, LogView
 
 DEFAULT_LIMIT = 200
@@ -157,9 +159,16 @@ def explore(
     limit: int = DEFAULT_LIMIT,
     projection: str = "full",
     columns: Extra = (),
+    time_first: bool | None = None,
 ) -> DataFrame:
-    """The first ``limit`` matching rows in the chosen order (a top-k, never a full sort)."""
+    """The first ``limit`` matching rows in the chosen order (a top-k, never a full sort).
+
+    Lists by time over very large inputs look at the timestamps first (see ``plans.topk``);
+    ``time_first`` overrides that choice.
+    """
     rows = filter_logs(df, view, where) if where is not None else df
+    if view.timestamp and sort in (None, view.timestamp, ROLE_ALIASES["timestamp"]):
+        rows = bounded_by_time(rows, view, limit, descending, time_first)
     order = _order(Scope(rows, view), sort, descending)
     top = (rows.orderBy(*order) if order else rows).limit(limit)
     return grid(top, view, columns) if projection == "grid" else full(top, view, columns)
@@ -176,6 +185,8 @@ def page(
 ) -> DataFrame:
     """Page ``number`` (from 0) by offset.  Cost grows with depth; see :func:`page_after`."""
     rows = filter_logs(df, view, where) if where is not None else df
+    if view.timestamp and sort in (None, view.timestamp, ROLE_ALIASES["timestamp"]):
+        rows = bounded_by_time(rows, view, (number + 1) * size, descending)
     order = _order(Scope(rows, view), sort, descending)
     return (rows.orderBy(*order) if order else rows).offset(number * size).limit(size)
 
@@ -206,7 +217,7 @@ def page_after(
         tie = tie | (same & (quoted(rid) > F.lit(last[rid])))
         same = same & (quoted(rid) == F.lit(last[rid]))
     # the plain range also reaches the file scan; the disjunction alone would not
-    later = rows.filter(ts <= at).filter((ts < at) | tie)
+    later = bounded_by_time(rows.filter(ts <= at).filter((ts < at) | tie), view, size)
     return later.orderBy(*_order(scope, None, True)).limit(size)
 
 
@@ -238,12 +249,18 @@ def hydrate(
 ) -> DataFrame:
     """Every narrow row with one full row of the same content key, NULL where there is none.
 
-    ``narrow_rows`` is the LIMIT the narrow side was built with; within the broadcast bound it is
+    ``narrow_rows`` is the LIMIT the narrow side was built with.  Within the broadcast bound the
+    narrow rows are written out once, their time span prunes the scan of the log table, and they are
     sent to every task, so the log table is not shuffled whole.  Copies of one content key are
     reduced to one row before the join, so a key shared by many rows stays one row.
     """
     rows = filter_logs(df, view, time_range(*time)) if time else df
     if narrow_rows is not None and narrow_rows <= BROADCAST_ROWS:
+        narrow = durable(narrow)
+        stamp = next((c for c in (ROLE_ALIASES["timestamp"], view.timestamp) if c and c in narrow.columns), None)
+        if view.timestamp and stamp:
+            span = [narrow.agg(f(quoted(stamp))).scalar() for f in (F.min, F.max)]
+            rows = rows.filter(within(Scope(rows, view), *span, keep_null=True))
         # compare the columns themselves, so only the few survivors are hashed
         theirs, ours = _key_parts(narrow, view), _key_parts(rows, view)
         wanted = narrow.select(*[c.alias(f"__n_{r}") for r, c in theirs.items()])
@@ -287,7 +304,7 @@ def surrounding(
     rows = filter_logs(rows, view, time_range(None, at) if before else time_range(at, None))
     scope = Scope(rows, view)
     ts, lit = scope.role("timestamp"), timestamp_literal(at, scope.role_type("timestamp"))
-    rows = rows.filter(ts < lit if before else ts > lit)
+    rows = bounded_by_time(rows.filter(ts < lit if before else ts > lit), view, n, before)
     top = rows.orderBy(*_order(scope, None, before)).limit(n)
     roles = {"timestamp": "timestamp", "body": "body", "severity": "severity", "service": "serviceName"}
     named = [

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from loglattice.functions.fields import Scope, quoted
 from loglattice.operators.flatten import MAX_DEPTH, as_variant, variant_leaves
 from loglattice.operators.predicates import Predicate, filter_logs
+from loglattice.plans.topk import bounded_by_time
 from loglattice.view import LogView
 
 SAMPLE = 500
@@ -25,6 +26,7 @@ def newest(df: DataFrame, view: LogView, sample: int | None, where: Predicate |
     if sample is None:
         return rows
     if view.timestamp:
+        rows = bounded_by_time(rows, view, sample)
         ties = [quoted(r).asc_nulls_last() for r in view.row_id]
         rows = rows.orderBy(Scope(rows, view).role("timestamp").desc_nulls_last(), *ties)
     return rows.limit(sample)

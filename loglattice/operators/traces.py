@@ -18,6 +18,7 @@ from loglattice.operators.predicates import filter_logs, time_range
 from loglattice.plans.durable import durable
 from loglattice.plans.joins import HOT_ROWS, join_group_facts
 from loglattice.plans.ordered import into_blocks, previous, running_sum
+from loglattice.plans.topk import within
 from loglattice.view import LogView
 
 # Span kinds that are phases of a query.
@@ -60,11 +61,14 @@ def join_logs_traces(
 ) -> DataFrame:
     """Log rows joined to their trace's padded window.
 
-    The equi-key is the trace id; traces with very many log rows are spread over several tasks.
+    The time span of all windows prunes the log scan.  The equi-key is the trace id; traces with very
+    many log rows are spread over several tasks.
     """
     view.require("trace_id", "timestamp")
     scope = Scope(df, view)
-    logs = df.withColumn("trace_id", scope.role("trace_id"))
+    lo = windows.agg(F.min("window_start")).scalar()
+    hi = windows.agg(F.max("window_end")).scalar()
+    logs = df.filter(within(scope, lo, hi)).withColumn("trace_id", scope.role("trace_id"))
     sizes = logs.groupBy("trace_id").agg(F.count("*").alias("n_rows"))
     facts = windows.drop("n_rows").join(sizes, "trace_id")
     row_hash = F.xxhash64(*[quoted(c) for c in (view.row_id or (view.timestamp,))])

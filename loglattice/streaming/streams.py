@@ -6,9 +6,7 @@ tags need nothing here: ``filter_logs`` and ``tag_matches`` work on streams as t
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,11 +88,21 @@ def rank_windows(counts: DataFrame, limit: int = 10) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+def _drop_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Drop repeats of a key within the watermark, in two steps.
+
+    The first step works per (key, input task), so copies of one very frequent key are thinned out
+    in many tasks before the second step brings what is left of the key together.
+    """
+    thinned = rows.withColumn("__task", F.spark_partition_id()).dropDuplicatesWithinWatermark([*keys, "__task"])
+    return thinned.drop("__task").dropDuplicatesWithinWatermark(keys)
+
+
 def stream_dedupe(stream: DataFrame, view: LogView, late: str = "10 minutes") -> DataFrame:
     """Drop repeats of a content key that arrive within the watermark."""
     rows = event_time(stream, view)
-    keyed = rows.withColumn("row_key", row_key(rows, view))
-    return keyed.withWatermark(view.timestamp, late).dropDuplicatesWithinWatermark(["row_key"])
+    keyed = rows.withColumn("row_key", row_key(rows, view)).withWatermark(view.timestamp, late)
+    return _drop_repeats(keyed, ["row_key"])
 
 
 def stream_correlate(
@@ -104,13 +112,14 @@ def stream_correlate(
     start: str = "start_time",
     logged: str = "event_time",
 ) -> DataFrame:
-    """Spans left-joined to query-log rows that arrive up to ``late`` after the span started.
+    """Spans left-joined to the query-log row that arrives up to ``late`` after the span started.
 
-    ``spans`` has root_id, id and a start time; ``qlog`` trace_id, span_id and an event time.
-    Unmatched spans come out once both watermarks have passed.
+    ``spans`` has root_id, id and a start time; ``qlog`` trace_id, span_id and an event time.  Of
+    several log rows for one span the first to arrive counts.  Unmatched spans come out once both
+    watermarks have passed.
     """
     left = spans.withWatermark(start, late)
-    right = qlog.withWatermark(logged, late)
+    right = _drop_repeats(qlog.withWatermark(logged, late), ["trace_id", "span_id"])
     near = (
         (F.col("trace_id") == F.col("root_id"))
         & (F.col("span_id") == F.col("id"))

@@ -171,3 +171,40 @@ def test_rules(logs):
     tags = {r.id: r.rules for r in tag_matches(logs, VIEW, rules).collect()}
     assert tags[0] == [] and tags[1] == ["sev"] and tags[59] == ["late", "sev"]
     assert {r.rule: r["count"] for r in count_matches(logs, VIEW, rules).collect()} == {"late": 10, "sev": 40, "never": 0}
+
+
+@pytest.mark.parametrize("newest", [True, False])
+@pytest.mark.parametrize("n", [1, 7, 30, 100])
+def test_looking_at_timestamps_first_changes_nothing(spark, newest, n):
+    rng = random.Random(9)
+    # a third of the rows share one instant, some have no timestamp
+    rows = [(i, None if i % 20 == 19 else T0 + dt.timedelta(seconds=60 if i % 3 == 0 else rng.randrange(600))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp")
+    view = LogView(timestamp="ts", row_id=("id",))
+    plain, pruned = (
+        [r.id for r in explore(df, view, P.gte("id", 3), descending=newest, limit=n, time_first=f).collect()] for f in (False, True)
+    )
+    assert plain == pruned and len(plain) == min(n, 87)
+
+
+def test_hydrate_prunes_the_scan_by_the_page(spark, tmp_path):
+    rows = [(i, T0 + dt.timedelta(hours=i), f"b{i}") for i in range(50)]
+    spark.createDataFrame(rows, "id int, ts timestamp, body string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    view = LogView(timestamp="ts", body="body", row_id=("id",))
+    out = hydrate(df, grid(explore(df, view, limit=5), view), view, narrow_rows=5)
+    assert sorted(r.id for r in out.collect()) == [45, 46, 47, 48, 49]
+    assert "GreaterThanOrEqual(ts" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_time_first_prunes_partitions_and_row_groups(spark, tmp_path):
+    from loglattice.sources.logs import write_logs
+
+    rows = [(i, T0 + dt.timedelta(hours=i) if i else None, f"b{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp, body string")
+    view = write_logs(df, str(tmp_path / "t"), LogView(timestamp="ts", body="body", row_id=("id",)))
+    out = explore(spark.read.parquet(str(tmp_path / "t")), view, limit=5, time_first=True)
+    assert [r.id for r in out.collect()] == [99, 98, 97, 96, 95]
+    wide = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x and "body" in x]
+    assert wide and all("PartitionFilters: [((event_date" in x and "GreaterThanOrEqual(ts" in x for x in wide)
+    assert explore(spark.read.parquet(str(tmp_path / "t")), view, limit=200, time_first=True).count() == 100
