@@ -86,7 +86,8 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     i = F.col("event_id")
     local = i % 64
-    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("double")
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    ms = F.floor(us / 1000).cast("double")
     running = i % 640 == 37
     kind = (
         F.when(F.col("event_type") == "click", "decode")

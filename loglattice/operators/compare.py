@@ -47,15 +47,21 @@ def compare_rows(df: DataFrame, view: LogView, ref: Column, row_id: str | None =
     )
 
 
+def _digest(value: Column) -> Column:
+    """Stands for the value when only equality matters; long text is not carried through a shuffle."""
+    return F.when(F.octet_length(value) > 32, F.sha2(value, 256)).otherwise(value)
+
+
 def diff_within(df: DataFrame, view: LogView, by: str) -> DataFrame:
     """Per group and field, how many different values (NULL counts as one) the group holds.
 
     Distinct values are found first, over (group, field, value), so a very large group is spread
-    over many tasks before its values are counted.
+    over many tasks before its values are counted.  A value over 32 bytes is its SHA-256 there (no
+    shorter value can read like one).
     """
     Scope(df, view).get(by)
     long = _long(df, view, [by]).withColumnRenamed("key", "field")
-    distinct = long.groupBy(quoted(by), "field", "value").agg(F.count("*").alias("n"))
+    distinct = long.groupBy(quoted(by), "field", _digest(F.col("value")).alias("value")).agg(F.count("*").alias("n"))
     return distinct.groupBy(quoted(by), "field").agg(
         F.count("*").alias("n_values"),
         F.sum("n").alias("n_rows"),

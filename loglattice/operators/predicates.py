@@ -242,7 +242,7 @@ def values(field: str, first, *rest: tuple[str, object]) -> Predicate:
         raise ValueError("values are joined by 'and' or 'or'")
 
     def on_field(r: Resolved) -> Column:
-        plain = not any(isinstance(v, _Not) or v is None or v == "null" or "*" in str(v) for v in items)
+        plain = not any(isinstance(v, (_Not, _Quoted)) or v is None or v == "null" or "*" in str(v) for v in items)
         if plain and r.kind != "text" and "and" not in joins and not isinstance(r.dtype, (T.MapType, T.ArrayType)):
             return r.column.isin([typed_literal(v, r.dtype) for v in items])
         acc = _value(r, first)
@@ -262,9 +262,21 @@ def negate_value(value) -> _Not:
     return _Not(value)
 
 
+@dataclass(frozen=True)
+class _Quoted:
+    text: str
+
+
+def quoted_value(text: str) -> _Quoted:
+    """A quoted entry of a value list: a phrase on the body, the exact string elsewhere."""
+    return _Quoted(text)
+
+
 def _value(r: Resolved, v) -> Column:
     if isinstance(v, _Not):
         return ~_value(r, v.value)
+    if isinstance(v, _Quoted):
+        return phrase_match(r.column, v.text) if r.kind == "text" else _equals(r, v.text, True)
     if isinstance(v, str) and "*" in v:
         return r.field.as_string().ilike(wildcard_pattern(v))
     return contains_match(r.column, str(v)) if r.kind == "text" and v is not None else _equals(r, v, False)

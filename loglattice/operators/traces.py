@@ -223,6 +223,6 @@ def collapse_runs(
     joins = F.col("__ok") & F.col("__prev.__ok") & F.col("__prev.__name").eqNullSafe(F.col("__name"))
     flagged = seen.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).drop("__prev")
     numbered = running_sum(flagged, F.col("__new"), by, order, "run")
-    first = F.min(F.struct(*[quoted(c) for c in order])).alias("__first")
-    runs = numbered.groupBy(*by, "run").agg(F.min("__name").alias("name"), F.count("*").alias("n"), first)
+    lead = F.min(F.struct(*[quoted(c) for c in order])).alias("__first")
+    runs = numbered.groupBy(*by, "run").agg(F.min("__name").alias("name"), F.count("*").alias("n"), lead)
     return runs.select(*by, "run", "name", "n", *[F.col("__first")[c].alias(f"first_{c}") for c in order])

@@ -60,16 +60,19 @@ def write_logs(
 ) -> LogView:
     """Write partitioned by a truncation of the timestamp and sorted by (service, time) inside files.
 
-    Rows are range partitioned by (partition, service, time): a day holding most of the data is
-    spread over many tasks and files, each with a narrow service/time range for file statistics to
-    skip on, while small days share a task.  Columns in ``bloom`` get Parquet bloom filters for
+    Rows are range partitioned by (partition, service, time, reading task): a day holding most of the
+    data is spread over many tasks and files, each with a narrow service/time range for file
+    statistics to skip on, while small days share a task.  The reading task comes last so that even
+    rows of one instant can be split.  Columns in ``bloom`` get Parquet bloom filters for
     equality lookups.  Returns the view that also filters the partition column.
     """
     view.require("timestamp")
     parted = with_partition_column(df, view, by, partition_name)
     order = [partition_name] + [c for c in (view.service, view.timestamp) if c]
     cols = [quoted(c) for c in order]
-    writer = parted.repartitionByRange(*cols).sortWithinPartitions(*cols).write.mode(mode).format(format)
+    tasked = parted.withColumn("__task", F.spark_partition_id())
+    ranged = tasked.repartitionByRange(*cols, "__task").drop("__task").sortWithinPartitions(*cols)
+    writer = ranged.write.mode(mode).format(format)
     for c in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer = writer.option(f"parquet.bloom.filter.expected.ndv#{c}", str(bloom_ndv))

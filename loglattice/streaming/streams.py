@@ -16,7 +16,6 @@ from loglattice.operators.explore import row_key
 from loglattice.plans.durable import scratch_path
 from loglattice.view import LogView
 
-BATCH_ROWS = 1000
 TRIGGER = "5 seconds"
 
 

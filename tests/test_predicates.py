@@ -99,6 +99,8 @@ def having(test):
         (P.values("body", "done", ("or", "failed"), ("and", "payment")), [0, 1]),
         (P.values("body", "req", ("and", P.negate_value("592"))), [2]),
         (P.values("n", 10, ("or", "20")), [1, 2]),
+        (P.values("body", P.quoted_value("req-59"), ("or", P.quoted_value("fail"))), [2]),
+        (P.values("svc", P.quoted_value("svc1"), ("or", "svc2*")), [1, 2, 4, 5, 7, 8, 10, 11]),
         (P.term("ok") & ~P.term("592"), [2]),
         (P.term("done") | P.term("fine") & P.eq("sev", "ERROR"), [4, 5]),
         (P.eq("http", "x", on_unresolved="body"), []),

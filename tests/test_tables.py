@@ -51,6 +51,20 @@ def test_hot_day_is_split_and_files_are_sorted(spark, logs, tmp_path):
     assert read_logs(spark, path).count() == 1800
 
 
+def test_rows_of_one_instant_are_split_between_files(spark, tmp_path):
+    df = spark.range(0, 4000, numPartitions=8).select(
+        F.col("id").cast("int"), F.lit(T0).cast("timestamp").alias("ts"), F.lit("one").alias("svc")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_logs(df, str(tmp_path / "t"), VIEW)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = [f for f in os.listdir(f"{tmp_path}/t/event_date=2024-01-01") if f.endswith(".parquet")]
+    assert len(files) > 1
+    assert read_logs(spark, str(tmp_path / "t")).count() == 4000
+
+
 def test_append_keeps_earlier_rows(spark, logs, tmp_path):
     path = str(tmp_path / "t")
     write_logs(logs.filter("id < 10"), path, VIEW)
