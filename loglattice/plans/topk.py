@@ -23,7 +23,12 @@ _FAR = {True: "0001-01-01 00:00:00", False: "9999-12-31 23:59:59"}
 
 
 def scan_tasks(df: DataFrame) -> int:
-    """Roughly how many tasks scan the input, from the plan's size statistics."""
+    """Roughly how many tasks scan the input, from the plan's size statistics.
+
+    Without access to them (a remote session) the input counts as large.
+    """
+    if not hasattr(df, "_jdf"):
+        return MERGE_ROWS
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     text = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
     per_task = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
