@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loglattice.functions.buckets import bucket
+from loglattice.functions.coarse import coarse_column
 from loglattice.functions.fields import Scope
 from loglattice.view import LogView
 
@@ -44,7 +45,8 @@ def within(scope: Scope, lo: Column | None, hi: Column | None, keep_null: bool =
     sides = [(scope.role("timestamp"), lo, hi)]
     if view.partition_col:
         p = scope.get(view.partition_col)
-        down = lambda c: None if c is None else F.date_trunc(view.partition_by, c).cast(p.dtype)
+        ts_type = scope.role_type("timestamp")
+        down = lambda c: None if c is None else coarse_column(c, ts_type, view.partition_by, p.dtype)
         sides.append((p.column, down(lo), down(hi)))
     out = None
     for col, low, high in sides:

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loglattice.functions.coarse import coarse_column, coarse_literal
 from loglattice.functions.fields import Scope, quoted
-from loglattice.functions.literals import naive_utc, timestamp_literal
+from loglattice.functions.literals import naive_utc
 from loglattice.view import LogView
 
 # The macros a query may use for the bounds of the time range.
@@ -39,12 +41,12 @@ def run_sql(spark: SparkSession, sql: str, from_=None, to=None, **tables: DataFr
 
 
 def with_partition_column(df: DataFrame, view: LogView, by: str = "day", name: str = "event_date") -> DataFrame:
-    ts = Scope(df, view).role("timestamp")
-    if by == "day":
-        return df.withColumn(name, F.to_date(ts))
-    if by == "hour":
-        return df.withColumn(name, F.date_trunc("hour", ts).cast(Scope(df, view).role_type("timestamp")))
-    raise ValueError("tables are partitioned by 'day' or 'hour'")
+    """Adds the timestamp's UTC day as a DATE, or its UTC hour as hours since 1970."""
+    if by not in ("day", "hour"):
+        raise ValueError("tables are partitioned by 'day' or 'hour'")
+    scope = Scope(df, view)
+    kind = T.DateType() if by == "day" else T.LongType()
+    return df.withColumn(name, coarse_column(scope.role("timestamp"), scope.role_type("timestamp"), by, kind))
 
 
 def write_logs(
@@ -93,5 +95,5 @@ def expired_partitions(df: DataFrame, view: LogView, now, days: int = RETENTION_
         raise ValueError("the view names no partition column")
     cut = naive_utc(now) - dt.timedelta(days=days)
     col = Scope(df, view).get(view.partition_col)
-    floor = cut.replace(minute=0, second=0, microsecond=0) if view.partition_by == "hour" else cut.replace(hour=0, minute=0, second=0, microsecond=0)
-    return df.select(col.column.alias(view.partition_col)).filter(col.column < timestamp_literal(floor, col.dtype)).distinct()
+    old = col.column < coarse_literal(cut, view.partition_by, col.dtype)
+    return df.filter(old).select(col.column.alias(view.partition_col)).distinct()

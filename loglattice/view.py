@@ -31,7 +31,7 @@ class LogView:
     trace_id: str | None = None
     service: str | None = None
     span_attributes: str | None = None
-    #: column holding ``timestamp`` truncated to ``partition_by``; filtered along with it
+    #: column holding ``timestamp`` truncated to ``partition_by`` in UTC; filtered along with it
     partition_col: str | None = None
     partition_by: str = "day"
     #: columns that make a row unique, used to break ties in sorted limits
