@@ -9,11 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a scratch folder only where none is configured (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    return root or tempfile.mkdtemp(prefix="loglattice-")
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a session whose master is ``local`` gets one scratch folder, as all its tasks
+    run on this machine; any other session gets an error, as its executors would write where the
+    others cannot read.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root:
+        return root
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = tempfile.mkdtemp(prefix="loglattice-")
+    sc.setCheckpointDir(root)
+    return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -26,3 +36,10 @@ def durable(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, read back from a compressed columnar table in the shared folder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
