@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import fingerprints, packing, quality, sentencepiece_bpe, url_trust
+from loglattice.llm import fingerprints, packing, quality, sentencepiece_bpe, simhash_trie, url_trust
 from loglattice.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_trie.near_components(table(spark, sf, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -42,6 +46,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op6_url_filters": op6_url_filters,
     "op8_fingerprints": op8_fingerprints,
