@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import fingerprints, packing, quality, sentencepiece_bpe, simhash_trie, url_trust
+from loglattice.llm import fingerprints, packing, quality, sentencepiece_bpe, simhash_trie, suffix_dedup, url_trust
 from loglattice.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = suffix_dedup.dedup(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op6_url_filters": op6_url_filters,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_fingerprints": op8_fingerprints,
     "op10_quality": op10_quality,
 }
