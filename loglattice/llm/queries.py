@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import fingerprints, packing, quality, sentencepiece_bpe, simhash_trie, suffix_dedup, url_trust
+from loglattice.llm import fingerprints, packing, quality, sentencepiece_bpe, simhash_trie, substring_fm, suffix_dedup, url_trust
 from loglattice.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_fm.dedup(table(spark, sf, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_fingerprints": op8_fingerprints,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {}
