@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import fingerprints, packing, quality, sentencepiece_bpe, simhash_trie, substring_fm, suffix_dedup, url_trust
+from loglattice.llm import fingerprints, hilbert_ann, packing, quality, sentencepiece_bpe, simhash_trie, substring_fm, suffix_dedup, url_trust
 from loglattice.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return hilbert_ann.nearest(table(spark, sf, "embeddings"))
+
+
 def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     judged = url_trust.judge(table(spark, sf, "pages"), url_trust.rule_table(spark, RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_nearest": op5_nearest,
     "op6_url_filters": op6_url_filters,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_fingerprints": op8_fingerprints,
