@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import fingerprints, hilbert_ann, packing, quality, sentencepiece_bpe, simhash_trie, substring_fm, suffix_dedup, url_trust
+from loglattice.llm import fingerprints, hilbert_ann, html_extract, packing, quality, sentencepiece_bpe, simhash_trie, substring_fm, suffix_dedup, url_trust
 from loglattice.llm.common import table
 
 
@@ -19,6 +19,10 @@ def tokenizer_file(name: str) -> str:
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+def op1_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf, "pages"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -58,6 +62,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
