@@ -239,7 +239,7 @@ def _join_segment(ids: np.ndarray, sig: np.ndarray, piece: np.ndarray, plan: Pla
             label = _union(label, a[sure], b[sure])
             perhaps = (far > plan.sure) & (far <= plan.maybe)
             if perhaps.any():
-                looked.append(np.stack([a[perhaps], b[perhaps], far[perhaps]], axis=1))
+                looked.append(np.stack([a[perhaps], b[perhaps]], axis=1))
     linked = np.flatnonzero(label != np.arange(len(ids)))
     sure = np.stack([ids[linked], ids[label[linked]]], axis=1) if len(linked) else np.empty((0, 2), np.int64)
     if not looked:
