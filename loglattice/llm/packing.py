@@ -167,22 +167,31 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
     return assign(written(cut, "packing-pieces"), window)
 
 
-def pack_sequences(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row per sequence: sequence_id, ids (array of ints, without padding), doc_ids, lengths, padding."""
-    cut = assign(written(pieces(docs, tokenizer, window, end_id), "packing-pieces"), window)
-    parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
-    rows = cut.groupBy("sequence_id").agg(parts.alias("p"), F.sum("length").cast("int").alias("used"))
-
-    @F.pandas_udf("array<int>")
-    def numbers(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: np.frombuffer(b, dtype="<u4").astype(np.int32))
-
-    joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
-    power = F.col("used").bitwiseAND(F.col("used") - 1) == 0
-    return rows.select(
-        "sequence_id",
-        numbers(joined).alias("ids"),
-        F.col("p.doc_id").alias("doc_ids"),
-        F.col("p.length").alias("lengths"),
-        F.when(power, 0).otherwise(F.lit(window) - F.col("used")).alias("padding"),
-    )
+def pack_sequences(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard_pieces: int = 10_000) -> DataFrame:
+    """One row per sequence: sequence_id, ids (array of ints, without padding), doc_ids, lengths, padding.
+
+    A sequence is padded to ``window``, unless its length is a power of two.  Pieces travel once, with
+    their ids; their shard places them and puts the sequences together.
+    """
+    cut = written(pieces(docs, tokenizer, window, end_id).select("doc_id", "start", "length", "ids", "ids_crc32"), "packing-pieces")
+    shards = max(1, -(-cut.count() // shard_pieces))
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
+        where, offset = best_fit(rows["length"].to_numpy(), window)
+        order = np.lexsort((offset, where))
+        edges = [*np.flatnonzero(np.append(True, np.diff(where[order]) != 0)).tolist(), len(order)]
+        ids, doc_ids, lengths = rows["ids"].to_numpy(), rows["doc_id"].to_numpy(), rows["length"].to_numpy()
+        shard, out = int(rows["__shard"].iloc[0]), []
+        for lo, hi in zip(edges, edges[1:]):
+            own = order[lo:hi]
+            used = int(lengths[own].sum())
+            tokens = np.frombuffer(b"".join(ids[own].tolist()), dtype="<u4").astype(np.int32)
+            known = [None if pd.isna(d) else int(d) for d in doc_ids[own]]
+            padding = 0 if used & (used - 1) == 0 else window - used
+            out.append((int(where[own[0]]) * shards + shard, tokens, known, lengths[own].tolist(), padding))
+        return pd.DataFrame(out, columns=["sequence_id", "ids", "doc_ids", "lengths", "padding"])
+
+    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))
+    schema = "sequence_id long, ids array<int>, doc_ids array<long>, lengths array<int>, padding int"
+    return shipped(cut).withColumn("__shard", key).groupBy("__shard").applyInPandas(build, schema)
