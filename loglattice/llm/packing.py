@@ -7,6 +7,8 @@ by remaining capacity finds the tightest open window that still takes the piece.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,12 +27,31 @@ WORD_CACHE = 400_000
 SHARD_PIECES = 50_000
 
 
-class WordIds:
-    """Ids of whole texts, put together from the ids of their space-separated words.
+#: Texts whose only characters beyond ASCII are letters, and which ``lower`` maps letter by letter.
+PLAIN = re.compile("[\0-\x7fÀ-ÖØ-öø-ɏ]*")
+#: Bytes as letters and digits (l), white space (blank), and the rest (p).
+KINDS = bytes(ord("l") if b >= 128 or chr(b).isalnum() else ord(" ") if b in b" \t\n\r\x0b\x0c" else ord("p") for b in range(256))
+BEFORE_SIGN = re.compile("(?<=[0-9a-zß-ɏ])(?=[^\\s0-9a-zß-ɏ])")
+
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words
-    in turn; each distinct word is tokenised once.
+def words(text: str) -> list[str]:
+    """Parts of a text whose ids, one after the other, are those of the text.
+
+    The tokenizer lower-cases, drops white space, and begins a new token where a letter or digit meets
+    another sign.  So a text is cut at blanks, and, if it is plain, lower-cased and cut before signs.
     """
+    if "<|" not in text and PLAIN.fullmatch(text):
+        kinds = text.encode().translate(KINDS)
+        text = text.lower()
+        if b"pp" in kinds:
+            text = BEFORE_SIGN.sub(" ", text)
+        else:  # no run of signs that this would cut
+            text = text.replace(",", " ,").replace(".", " .")
+    return text.replace("\n", " ").split(" ")
+
+
+class WordIds:
+    """Ids of whole texts, put together from those of their parts, each of which is tokenised once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -38,22 +59,22 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+    def learn(self, parts: set[str]) -> None:
+        new = [w for w in parts if w not in self.known]
         if len(self.known) + len(new) > WORD_CACHE:
             self.known = {"": b""}
-            new = [w for w in words if w]
+            new = [w for w in parts if w]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                self.known[w] = pack_ids(e.ids)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [words(t) for t in texts]
         self.learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+        for parts in split:
+            yield b"".join(map(self.known.__getitem__, parts))
 
 
 _BY_PATH: dict[str, WordIds] = {}
@@ -91,6 +112,10 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
     return shipped(docs).select(F.col("doc_id").cast("long"), whole("text").alias("text")).mapInPandas(cut, PIECES)
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class OpenWindows:
     """Open windows by remaining capacity, under a segment tree of counts."""
 
