@@ -158,7 +158,7 @@ def order_spans(spark: SparkSession, sf: str) -> DataFrame:
     return roots.unionByName(lines)
 
 
-# --- a query log: one tagged row for four of five events, two for every seventh -----------------
+# --- a query log: one tagged row for each event, two for every seventh -----------------
 
 PREFIX = "app"
 QLOG_SQL = """
@@ -175,14 +175,19 @@ QLOG_SQL = """
            || CASE WHEN event_id % 3 = 0 THEN ' SETTINGS read_overflow_mode = ''break''' ELSE '' END
            || CASE WHEN event_id % 11 = 0 THEN ', group_by_overflow_mode = ''any''' ELSE '' END
            || CASE WHEN event_id % 13 = 0 THEN ' -- sample' ELSE '' END
-           || CASE WHEN event_id % 17 = 0 THEN ' SAMPLE 0.1' ELSE '' END AS query
+           || CASE WHEN event_id % 17 = 0 THEN ' SAMPLE 0.1' ELSE '' END AS query,
+         'SELECT * FROM shop.' || event_type || ' WHERE body = ''<redacted>'' AND mode = ''break''  '
+           || CASE WHEN event_id % 2 = 0 THEN ' LIMIT ' || CAST(event_id % 40 AS VARCHAR) ELSE '' END
+           || CASE WHEN event_id % 3 = 0 THEN ' SETTINGS read_overflow_mode = ''break''' ELSE '' END
+           || CASE WHEN event_id % 11 = 0 THEN ', group_by_overflow_mode = ''any''' ELSE '' END
+           || CASE WHEN event_id % 13 = 0 THEN '  ' WHEN event_id % 17 = 0 THEN ' SAMPLE 0.1' ELSE '' END AS clean
   FROM events CROSS JOIN (VALUES (1), (2)) AS c(n)
-  WHERE event_id % 5 <> 0 AND (n = 1 OR event_id % 7 = 0)
+  WHERE n = 1 OR event_id % 7 = 0
 """
 
 
 def query_log(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").filter(F.col("event_id") % 5 != 0)
+    e = table(spark, sf, "events")
     i = F.col("event_id")
     copies = F.when(i % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     e = e.withColumn("n", F.explode(copies))

@@ -17,11 +17,11 @@ FINAL = "('QueryFinish', 'ExceptionWhileProcessing', 'ExceptionBeforeStart')"
 TAG = "CAST(split_part(log_comment, '|', 2) AS BIGINT) AS trace_id, CAST(split_part(log_comment, '|', 3) AS BIGINT) AS span_id"
 
 QUERIES["qlog_select"] = lambda s, d: query_log_for(
-    query_log(s, d), [str(i * 64) for i in range(2000)], NOW, PREFIX, minutes=60 * 24 * 7
+    query_log(s, d), spans(s, d).select(F.col("root_id").cast("string").alias("trace_id")).distinct(), NOW, PREFIX, minutes=60 * 24 * 7
 ).select("query_id", "event_time", "trace_id", "span_id", "op")
 SQL["qlog_select"] = f"""SELECT query_id, event_time, split_part(log_comment, '|', 2) AS trace_id, split_part(log_comment, '|', 3) AS span_id,
     split_part(log_comment, '|', 4) AS op FROM ({QLOG_SQL})
-  WHERE event_time >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND type IN {FINAL} AND CAST(split_part(log_comment, '|', 2) AS BIGINT) < 128000
+  WHERE event_time >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND type IN {FINAL}
   ORDER BY event_time DESC, query_id LIMIT 200"""
 
 
@@ -39,14 +39,14 @@ SQL["qlog_select_semi"] = f"""SELECT query_id, split_part(log_comment, '|', 2) A
 
 
 def logged(s, d):
-    """Finished rows with typed trace and span ids."""
+    """Finished rows with typed trace and span ids; a fifth of the spans has none."""
     q = query_log(s, d)
     tag = parse_tag(F.col("log_comment"))
     q = q.withColumns({k: tag[k].cast("bigint") for k in ("trace_id", "span_id")})
-    return q.filter(F.col("type") != "QueryStart")
+    return q.filter((F.col("type") != "QueryStart") & (F.col("span_id") % 5 != 0))
 
 
-LOGGED_SQL = f"SELECT *, {TAG} FROM ({QLOG_SQL}) WHERE type <> 'QueryStart'"
+LOGGED_SQL = f"SELECT *, {TAG} FROM ({QLOG_SQL}) WHERE type <> 'QueryStart' AND query_id // 10 % 5 <> 0"
 FIRST_SQL = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, span_id ORDER BY event_time, query_id) AS rn FROM ({LOGGED_SQL})) WHERE rn = 1"
 CORRELATED_SQL = f"""SELECT s.*, q.query_id AS server_query_id, q.query_duration_ms AS server_query_duration_ms, q.read_rows AS server_read_rows,
     q.exception_code AS server_exception_code, q.span_id IS NOT NULL AS matched
@@ -106,16 +106,18 @@ def strip_sql(text: str) -> str:
 
 
 QUERIES["strip_literals"] = lambda s, d: query_log(s, d).select("query_id", strip_literals(F.col("query")).alias("query"))
-SQL["strip_literals"] = f"SELECT query_id, {strip_sql('query')} AS query FROM ({QLOG_SQL})"
+SQL["strip_literals"] = f"SELECT query_id, clean AS query FROM ({QLOG_SQL})"
 QUERIES["strip_literals_docs"] = lambda s, d: redact(table(s, d, "documents").select("doc_id", "text"), "text")
 SQL["strip_literals_docs"] = f"SELECT doc_id, {strip_sql('text')} AS text FROM documents"
 QUERIES["redact_ident"] = lambda s, d: redact(query_log(s, d), "query", ["shop", "click", ""]).select("query_id", "query")
-SQL["redact_ident"] = rf"""SELECT query_id, regexp_replace(regexp_replace({strip_sql('query')}, '\bshop\b', '<redacted>', 'g'), '\bclick\b', '<redacted>', 'g') AS query
+SQL["redact_ident"] = rf"""SELECT query_id, regexp_replace(regexp_replace(clean, '\bshop\b', '<redacted>', 'g'), '\bclick\b', '<redacted>', 'g') AS query
   FROM ({QLOG_SQL})"""
+QUERIES["redact_pages"] = lambda s, d: redact(table(s, d, "pages").select("page_id", "html"), "html", ["div", "class", "p", "div class"], literals=False)
+SQL["redact_pages"] = r"""SELECT page_id, regexp_replace(html, '\b(?:div class|class|div|p)\b', '<redacted>', 'g') AS html FROM pages"""
 QUERIES["redact_ident_docs"] = lambda s, d: redact(table(s, d, "documents").select("doc_id", "text"), "text", ["the", "and"], literals=False)
 SQL["redact_ident_docs"] = r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\bthe\b', '<redacted>', 'g'), '\band\b', '<redacted>', 'g') AS text FROM documents"""
 
-LIMIT_SQL = rf"CAST(list_last(regexp_extract_all({strip_sql('query')}, '(?i)\bLIMIT\s+(\d+)', 1)) AS BIGINT)"
+LIMIT_SQL = rf"CAST(list_last(regexp_extract_all(clean, '(?i)\bLIMIT\s+(\d+)', 1)) AS BIGINT)"
 QUERIES["truncation"] = lambda s, d: with_truncation(query_log(s, d), "query", "result_rows").select(
     "query_id", "row_limit", "truncated"
 )
@@ -127,7 +129,7 @@ FOUND_SQL = rf"""
       CASE WHEN regexp_matches(clean, '{MODE}') THEN 'overflowBreak' END,
       CASE WHEN regexp_matches(clean, '(?i)\bgroup_by_overflow_mode\s*=\s*''any''') THEN 'groupByAny' END,
       CASE WHEN regexp_matches(clean, '(?i)\bSAMPLE\b') THEN 'sample' END]) AS finding
-  FROM (SELECT *, {strip_sql('query')} AS clean FROM ({QLOG_SQL}))) WHERE finding IS NOT NULL"""
+  FROM ({QLOG_SQL})) WHERE finding IS NOT NULL"""
 QUERIES["sql_findings"] = lambda s, d: audit_sql(query_log(s, d), "query", F.col("op"))
 SQL["sql_findings"] = f"SELECT op, finding, count(*) AS count FROM ({FOUND_SQL}) GROUP BY op, finding"
 

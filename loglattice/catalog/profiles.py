@@ -41,13 +41,13 @@ def profile_sql(source: str, fields: str, n: int) -> str:
       SELECT * FROM r WHERE rank <= {n}"""
 
 
-EVENT_FIELDS = ["event_id", "user_id", "event_type", "props.k"]
+EVENT_FIELDS = ["event_id", "ts", "user_id", "event_type", "value", "props.k"]
 QUERIES["profile_all"] = lambda s, d: profile(table(s, d, "events"), EVENTS, EVENT_FIELDS, limit=5)
 SQL["profile_all"] = profile_sql(
-    """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type,
-              json_extract_string(props, '$.k') AS "props.k" FROM events""",
-    'event_id, user_id, event_type, "props.k"', 5,
-)
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS VARCHAR) AS ts, CAST(user_id AS VARCHAR) AS user_id, event_type,
+              CAST(value AS VARCHAR) AS val, json_extract_string(props, '$.k') AS "props.k" FROM events""",
+    'event_id, ts, user_id, event_type, val, "props.k"', 5,
+).replace("SELECT * FROM r", "SELECT * REPLACE (CASE field WHEN 'val' THEN 'value' ELSE field END AS field) FROM r")
 QUERIES["profile_docs"] = lambda s, d: profile(table(s, d, "documents"), DOCS, limit=3)
 SQL["profile_docs"] = profile_sql(
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents",

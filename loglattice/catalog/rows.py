@@ -56,13 +56,20 @@ QUERIES["page_after"] = lambda s, d: page_after(events(s, d), EVENTS, {"ts": TS,
 SQL["page_after"] = f"""SELECT * FROM events WHERE ts < TIMESTAMP '{TS}' OR (ts = TIMESTAMP '{TS}' AND event_id > 0)
   ORDER BY ts DESC, event_id LIMIT 50"""
 
-DETAIL = {"__timestamp": dt.datetime(2024, 1, 1, 0, 0, 7, 179000), "__severity": "error"}
-QUERIES["detail"] = lambda s, d: detail(events(s, d), EVENTS, DETAIL)
-SQL["detail"] = """SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-01 00:00:07.179' AND ts < TIMESTAMP '2024-01-01 00:00:07.180'
-  AND event_type = 'error' ORDER BY event_id LIMIT 1"""
+
+
+def _detail(s, d):
+    """The full row behind the first row of a list of errors."""
+    listed = explore(events(s, d), EVENTS, P.eq("event_type", "error"), descending=False, limit=1, projection="grid").first()
+    return detail(events(s, d), EVENTS, {k: listed[k] for k in ("__timestamp", "__severity")})
+
+
+QUERIES["detail"] = _detail
+SQL["detail"] = """WITH r AS (SELECT date_trunc('millisecond', min(ts)) AS ms FROM events WHERE event_type = 'error')
+  SELECT e.* FROM events e, r WHERE e.ts >= ms AND e.ts < ms + INTERVAL 1 MILLISECOND AND event_type = 'error' ORDER BY event_id LIMIT 1"""
 
 QUERIES["hydrate_many"] = lambda s, d: hydrate(
-    events(s, d), explore(events(s, d), EVENTS, P.eq("event_type", "click"), projection="grid"), EVENTS, narrow_rows=200
+    events(s, d), explore(events(s, d), EVENTS, P.eq("event_type", "click"), projection="grid"), EVENTS
 ).drop("__timestamp", "__severity", "__serviceName")
 SQL["hydrate_many"] = "SELECT * FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 200"
 QUERIES["hydrate_docs"] = lambda s, d: hydrate(
@@ -100,11 +107,12 @@ SQL["surrounding_many"] = """
   FROM pos JOIN e ON e.user_id = pos.user_id AND (e.p BETWEEN nb - 2 AND nb OR e.p BETWEEN nle + 1 AND nle + 3)
 """
 
-QUERIES["compare"] = lambda s, d: compare_rows(events(s, d).drop("value"), EVENTS, F.col("event_id") == 5)
+QUERIES["compare"] = lambda s, d: compare_rows(events(s, d), EVENTS, F.col("event_id") == 5)
 SQL["compare"] = """
-  WITH t AS (SELECT event_id, CAST(ts AS VARCHAR) AS ts, event_type, props, CAST(user_id AS VARCHAR) AS user_id FROM events),
-  l AS (UNPIVOT t ON ts, event_type, props, user_id INTO NAME field VALUE value)
-  SELECT l.event_id, l.field, CAST(CASE l.field WHEN 'ts' THEN 1 WHEN 'event_type' THEN 2 WHEN 'props' THEN 3 ELSE 4 END AS INTEGER) AS field_order,
+  WITH t AS (SELECT event_id, CAST(ts AS VARCHAR) AS ts, event_type, props, CAST(user_id AS VARCHAR) AS user_id, CAST(value AS VARCHAR) AS val FROM events),
+  l AS (UNPIVOT t ON ts, event_type, props, user_id, val INTO NAME field VALUE value)
+  SELECT l.event_id, CASE l.field WHEN 'val' THEN 'value' ELSE l.field END AS field,
+         CAST(list_position(['ts', 'event_type', 'props', 'user_id', 'value'], CASE l.field WHEN 'val' THEN 'value' ELSE l.field END) AS INTEGER) AS field_order,
          l.value, l.value IS NOT DISTINCT FROM r.value AS same
   FROM l JOIN (SELECT field, value FROM l WHERE event_id = 5) r ON l.field = r.field
 """

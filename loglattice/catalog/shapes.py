@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loglattice.catalog.common import ATTR_EVENTS, ATTR_EVENTS_SQL, attr_events, table
 from loglattice.catalog.profiles import NESTED_SQL, nested
 from loglattice.operators.flatten import flatten_json, flatten_map, flatten_rows, normalize_attrs, normalize_report
+from loglattice.operators.profile import json_paths
 from loglattice.view import LogView
 
 QUERIES: dict = {}
@@ -65,11 +66,29 @@ LEAVES_SQL = f"""
 QUERIES["flatten_json"] = lambda s, d: flatten_json(nested(s, d), NESTED, "payload")
 SQL["flatten_json"] = LEAVES_SQL
 
-QUERIES["flatten_row"] = lambda s, d: flatten_rows(attr_events(s, d).drop("value"), ATTR_EVENTS)
+# objects fifteen deep, of which some rows have fewer
+DEEP = [f"n{i}" for i in range(15)]
+
+
+def deep(s, d):
+    e = table(s, d, "events")
+    user = F.col("user_id").cast("string")
+    levels = (F.col("event_id") % 15 + 1).cast("int")
+    head = F.array_join(F.slice(F.array(*[F.lit(f'{{"{n}":') for n in DEEP]), F.lit(1), levels), "")
+    return e.select("event_id", F.concat(head, user, F.repeat(F.lit("}"), levels)).alias("payload"))
+
+
+DEEP_SQL = "SELECT event_id, array_to_string([" + ", ".join(f"'{n}'" for n in DEEP) + "][1:event_id % 15 + 1], '.') AS key, CAST(user_id AS VARCHAR) AS value FROM events"
+QUERIES["flatten_json_deep"] = lambda s, d: flatten_json(deep(s, d), NESTED, "payload")
+SQL["flatten_json_deep"] = DEEP_SQL
+QUERIES["json_paths_deep"] = lambda s, d: json_paths(deep(s, d), "payload").select("path", "count")
+SQL["json_paths_deep"] = f"SELECT key AS path, count(*) AS count FROM ({DEEP_SQL}) GROUP BY key"
+
+QUERIES["flatten_row"] = lambda s, d: flatten_rows(attr_events(s, d), ATTR_EVENTS)
 SQL["flatten_row"] = f"""
-  WITH t AS (SELECT event_id, CAST(ts AS VARCHAR) AS ts, CAST(event_id AS VARCHAR) AS id, event_type, service, message FROM ({ATTR_EVENTS_SQL})),
-  l AS (UNPIVOT t ON id, ts, event_type, service, message INTO NAME key VALUE value)
-  SELECT event_id, CASE key WHEN 'id' THEN 'event_id' ELSE key END AS key, value,
-         CASE key WHEN 'ts' THEN 'time' WHEN 'id' THEN 'number' ELSE 'string' END AS type FROM l
+  WITH t AS (SELECT event_id, CAST(ts AS VARCHAR) AS ts, CAST(event_id AS VARCHAR) AS id, event_type, service, message, CAST(value AS VARCHAR) AS val FROM ({ATTR_EVENTS_SQL})),
+  l AS (UNPIVOT t ON id, ts, event_type, service, message, val INTO NAME key VALUE value)
+  SELECT event_id, CASE key WHEN 'id' THEN 'event_id' WHEN 'val' THEN 'value' ELSE key END AS key, value,
+         CASE key WHEN 'ts' THEN 'time' WHEN 'id' THEN 'number' WHEN 'val' THEN 'number' ELSE 'string' END AS type FROM l
   UNION ALL SELECT event_id, 'attrs.' || e.key, e.value, 'string' FROM (SELECT event_id, unnest(map_entries(attrs)) AS e FROM ({ATTR_EVENTS_SQL}))
   UNION ALL SELECT event_id, 'props.k', json_extract_string(props, '$.k'), 'string' FROM events"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loglattice.catalog.common import ORDER_SPANS_SQL, SPANS_SQL, TURNS, order_spans, spans, table
 from loglattice.operators.traces import (
-    action_summary, collapse_runs, join_logs_traces, logs_of_trace, phase_breakdown, span_tree, trace_windows, tree_end, waterfall,
+    action_summary, collapse_runs, join_logs_traces, logs_of_trace, otel_spans, phase_breakdown, span_tree, trace_windows, tree_end, waterfall,
 )
 from loglattice.view import LogView
 
@@ -18,11 +18,11 @@ QUERIES["trace_filter"] = lambda s, d: logs_of_trace(table(s, d, "events"), USER
 SQL["trace_filter"] = "SELECT * FROM events WHERE user_id = 42"
 
 # purchases are the spans of a user's trace
-BUYS_SQL = "SELECT user_id AS trace_id, ts AS start, ts + (event_id % 90) * INTERVAL 1 SECOND AS \"end\" FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-20'"
+BUYS_SQL = "SELECT user_id AS trace_id, ts AS start, ts + (event_id % 90) * INTERVAL 1 SECOND AS \"end\" FROM events WHERE event_type = 'purchase'"
 
 
 def buys(s, d):
-    e = table(s, d, "events").filter((F.col("event_type") == "purchase") & (F.col("ts") < "2024-01-20"))
+    e = table(s, d, "events").filter(F.col("event_type") == "purchase")
     return e.select(
         F.col("user_id").alias("trace_id"),
         F.col("ts").alias("start"),
@@ -51,6 +51,63 @@ SQL["span_flatten"] = f"""
     FROM walk w JOIN sp c ON c.parent_id = w.id)
   SELECT * FROM walk"""
 
+# ids that come again in every tree, '' for no parent, and parents that never arrived
+LOCAL_SQL = f"""SELECT id % 64 AS id, CASE WHEN id = root_id THEN '' ELSE CAST(CASE WHEN id % 640 = 70 THEN 9999 ELSE parent_id % 64 END AS VARCHAR) END AS parent_id,
+  root_id, start_ms, end_ms, kind, status FROM ({SPANS_SQL})"""
+
+
+def local_spans(s, d):
+    t = spans(s, d)
+    parent = F.when(F.col("id") % 640 == 70, F.lit(9999)).otherwise(F.col("parent_id") % 64).cast("string")
+    return t.select(
+        (F.col("id") % 64).alias("id"), F.when(F.col("id") == F.col("root_id"), "").otherwise(parent).alias("parent_id"),
+        "root_id", "start_ms", "end_ms", "kind", "status",
+    )
+
+
+QUERIES["span_flatten_local"] = lambda s, d: span_tree(local_spans(s, d), order=["id"]).select(
+    "id", "root_id", "depth", F.array_join(F.transform("path", lambda p: p["id"].cast("string")), ">").alias("path"), "reachable"
+)
+SQL["span_flatten_local"] = f"""
+  WITH RECURSIVE sp AS ({LOCAL_SQL}), walk AS (
+    SELECT id, root_id, 0 AS depth, '' AS path FROM sp WHERE parent_id = ''
+    UNION ALL SELECT c.id, c.root_id, w.depth + 1, CASE WHEN w.path = '' THEN '' ELSE w.path || '>' END || CAST(c.id AS VARCHAR)
+    FROM walk w JOIN sp c ON c.parent_id = CAST(w.id AS VARCHAR) AND c.root_id = w.root_id)
+  SELECT sp.id, sp.root_id, w.depth, w.path, w.id IS NOT NULL AS reachable FROM sp LEFT JOIN walk w USING (root_id, id)"""
+QUERIES["waterfall_local"] = lambda s, d: waterfall(local_spans(s, d)).select("id", "root_id", "duration_ms", "total_ms")
+SQL["waterfall_local"] = f"""
+  WITH sp AS ({LOCAL_SQL}), f AS (SELECT root_id, max(CASE WHEN parent_id = '' THEN start_ms END) AS rs,
+       CASE WHEN count(*) = count(end_ms) THEN max(end_ms) END AS te FROM sp GROUP BY root_id)
+  SELECT id, root_id, CASE WHEN end_ms IS NOT NULL THEN greatest(end_ms - start_ms, 0.0::DOUBLE) END AS duration_ms,
+         CASE WHEN te IS NOT NULL THEN greatest(te - rs, 1.0::DOUBLE) END AS total_ms FROM sp JOIN f USING (root_id)"""
+
+
+def otel_traces(s, d):
+    """Events as an OpenTelemetry trace table: a trace per user, every fifth event a root."""
+    e = table(s, d, "events")
+    user = F.col("user_id").cast("string")
+    return e.select(
+        F.col("ts").alias("Timestamp"), user.alias("TraceId"), F.col("event_id").cast("string").alias("SpanId"),
+        F.when(F.col("event_id") % 5 == 0, "").otherwise((F.col("event_id") - 1).cast("string")).alias("ParentSpanId"),
+        F.col("event_type").alias("SpanName"), F.lit("SPAN_KIND_SERVER").alias("SpanKind"),
+        (F.round("value") * 1_000_000).cast("bigint").alias("Duration"),
+        F.when(F.col("event_type") == "error", "STATUS_CODE_ERROR").otherwise("STATUS_CODE_OK").alias("StatusCode"),
+        F.when(F.col("event_type") == "error", "boom").otherwise("").alias("StatusMessage"),
+        F.create_map(F.lit("k"), "event_type").alias("SpanAttributes"), F.create_map(F.lit("k"), F.lit("r"), F.lit("host"), user).alias("ResourceAttributes"),
+    )
+
+
+QUERIES["otel_spans"] = lambda s, d: otel_spans(otel_traces(s, d)).select(
+    "id", "parent_id", "root_id", "name", "kind", "start_ms", "end_ms", "status", "error",
+    F.element_at("attrs", "k").alias("k"), F.element_at("attrs", "host").alias("host"),
+)
+SQL["otel_spans"] = """
+  SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id - 1 AS VARCHAR) END AS parent_id, CAST(user_id AS VARCHAR) AS root_id,
+         event_type AS name, 'SPAN_KIND_SERVER' AS kind, CAST(epoch_us(ts) AS DOUBLE) / 1000 AS start_ms,
+         CAST(epoch_us(ts) AS DOUBLE) / 1000 + round(value) AS end_ms,
+         CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, CASE WHEN event_type = 'error' THEN 'boom' END AS error,
+         event_type AS k, CAST(user_id AS VARCHAR) AS host FROM events"""
+
 for name, source, sql in (("", spans, SPANS_SQL), ("_orders", order_spans, ORDER_SPANS_SQL)):
     QUERIES[f"tree_end{name}"] = lambda s, d, source=source: tree_end(source(s, d))
     SQL[f"tree_end{name}"] = f"""SELECT root_id, CASE WHEN count(*) = count(end_ms) THEN max(end_ms) END AS tree_end_ms,

@@ -29,7 +29,6 @@ AUTO_STEPS = (
     2 * 86_400, 5 * 86_400, 10 * 86_400, 30 * 86_400, 90 * 86_400, 180 * 86_400, 365 * 86_400,
 )
 AUTO_BUCKETS = 60
-MAX_BUCKETS = 1000
 EPOCH = dt.datetime(1970, 1, 1)
 
 
@@ -60,24 +59,30 @@ def step_seconds(interval) -> int:
     return int(interval)
 
 
-def resolve_interval(interval, from_=None, to=None):
-    """'auto' becomes a width; an explicit unit with too many buckets for the range is refused."""
+def resolve_interval(interval, from_=None, to=None, max_buckets: int | None = None):
+    """'auto' becomes a width; with ``max_buckets`` a unit with more buckets over the range is refused."""
     if interval == "auto":
         if from_ is None or to is None:
             raise ValueError("interval='auto' needs a time range")
         return auto_step(from_, to)
     step_seconds(interval)
-    if from_ is not None and to is not None and isinstance(interval, str):
+    if max_buckets is not None and from_ is not None and to is not None:
         n = estimate_buckets(interval, from_, to)
-        if n > MAX_BUCKETS:
-            raise ValueError(f"interval {interval!r} gives {n} buckets over this range, more than {MAX_BUCKETS}")
+        if n > max_buckets:
+            raise ValueError(f"interval {interval!r} gives {n} buckets over this range, more than {max_buckets}")
     return interval
 
 
 def bucket(ts: Column, interval, dtype: T.DataType) -> Column:
-    """Start of the bucket a timestamp falls in; keeps the timestamp's type."""
+    """Start of the bucket a timestamp falls in, in UTC; keeps the timestamp's type."""
     if interval in CALENDAR_UNITS:
-        return F.date_trunc(interval, ts).cast(dtype)
+        if not isinstance(dtype, T.TimestampType):
+            return F.date_trunc(interval, ts).cast(dtype)
+        # an instant as UTC wall clock and back, whatever the session's time zone
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        wall = F.timestamp_add("MICROSECOND", F.unix_micros(ts), epoch)
+        start = F.date_trunc(interval, wall).cast("timestamp_ntz")
+        return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, start))
     if isinstance(dtype, T.DateType):
         ts = ts.cast("timestamp_ntz")
     return F.window(ts, f"{step_seconds(interval)} seconds")["start"].cast(dtype)

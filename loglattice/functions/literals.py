@@ -57,6 +57,19 @@ def timestamp_literal(value, dtype: T.DataType) -> Column:
     return F.lit(d.isoformat(sep=" ") + "+00:00").cast("timestamp")
 
 
+def bound_literal(value, dtype: T.DataType, op: str) -> Column:
+    """The bound of ``column op value`` (gt, gte, lt, lte) as a literal of the column's type.
+
+    A date is the start of its day.  A time of day within a bound is rounded to the day that keeps the
+    comparison true for the same dates: up for ``gte`` and ``lt``, down for ``gt`` and ``lte``.
+    """
+    if isinstance(dtype, T.DateType):
+        d = naive_utc(value)
+        inside = d.time() != dt.time(0)
+        return F.lit(d.date() + dt.timedelta(days=int(inside and op in ("gte", "lt"))))
+    return timestamp_literal(value, dtype)
+
+
 def typed_literal(value, dtype: T.DataType) -> Column:
     """``value`` as a literal of type ``dtype``; ValueError when it does not fit."""
     try:
@@ -65,7 +78,8 @@ def typed_literal(value, dtype: T.DataType) -> Column:
                 return F.lit(value)
             return F.lit({"true": True, "false": False, "1": True, "0": False}[str(value).strip().lower()])
         if isinstance(dtype, T.IntegralType):
-            return F.lit(int(str(value).strip())).cast(dtype)
+            whole = as_number(value)
+            return F.lit(whole if isinstance(whole, int) else int(str(value).strip())).cast(dtype)
         if isinstance(dtype, T.DecimalType):
             return F.lit(Decimal(str(value).strip())).cast(dtype)
         if isinstance(dtype, (T.FloatType, T.DoubleType)):

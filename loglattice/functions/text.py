@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 KEPT_LITERALS = ("throw", "break", "any", "browser", "dashboard", "sql", "Table")
 REDACTED = "<redacted>"
 
-# Two private-use characters mark what one left-to-right pass over the text has recognised.
-_OPEN, _CLOSE = "\ue000", "\ue001"
+# What one left-to-right pass over the text has recognised is marked by an escape character and a digit;
+# where the text has that character itself, a zero follows it meanwhile.
+_ESCAPE = "\ue000"
+_OPEN, _CLOSE = _ESCAPE + "1", _ESCAPE + "2"
 _KEPT = "|".join(KEPT_LITERALS)
 _TOKEN = rf"'({_KEPT})'|(')(?:[^'\\]|\\.)*+'|--[^\n]*|/\*[\s\S]*?\*/"
 
@@ -44,20 +46,24 @@ def strip_literals(text: Column) -> Column:
     open-word-close, any other as quote-open-close-quote, a comment as open-close); plain
     replacements do the rest, and text without a quote or comment mark is not scanned at all.
     """
-    marked = F.regexp_replace(_swap(_swap(text, _OPEN, ""), _CLOSE, ""), _TOKEN, f"$2{_OPEN}$1{_CLOSE}$2")
+    marked = F.regexp_replace(_swap(text, _ESCAPE, _ESCAPE + "0"), _TOKEN, f"$2{_OPEN}$1{_CLOSE}$2")
     hidden = _swap(marked, f"'{_OPEN}{_CLOSE}'", f"'{REDACTED}'")
     spaced = _swap(hidden, f"{_OPEN}{_CLOSE}", " ")
-    done = _swap(_swap(spaced, _OPEN, "'"), _CLOSE, "'")
-    marks = [text.contains(m) for m in ("'", "--", "/*", _OPEN, _CLOSE)]
+    done = _swap(_swap(_swap(spaced, _OPEN, "'"), _CLOSE, "'"), _ESCAPE + "0", _ESCAPE)
+    marks = [text.contains(m) for m in ("'", "--", "/*")]
     return F.when(reduce(lambda a, b: a | b, marks), done).otherwise(text)
 
 
 def redact_words(text: Column, words: Iterable[str]) -> Column:
-    """Whole-word occurrences of each given name become ``<redacted>``, name after name."""
-    for w in words:
-        if w:
-            text = F.regexp_replace(text, rf"\b{re.escape(w)}\b", REDACTED)
-    return text
+    """Whole-word occurrences of the given names become ``<redacted>``.
+
+    One pass looks for all names, the longest first, so no name is found inside a mark or in what is
+    left of a longer one.
+    """
+    names = sorted({w for w in words if w}, key=lambda w: (-len(w), w))
+    if not names:
+        return text
+    return F.regexp_replace(text, rf"\b(?:{'|'.join(map(re.escape, names))})\b", REDACTED)
 
 
 # The checks below read text that strip_literals has already cleaned.  Callers keep the cleaned text

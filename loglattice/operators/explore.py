@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglattice.functions.fields import Scope, json_path, quoted
-from loglattice.functions.literals import naive_utc, timestamp_literal
+from loglattice.functions.literals import bound_literal, naive_utc, timestamp_literal
 from loglattice.operators.predicates import Predicate, filter_logs, time_range
-from loglattice.plans.joins import BROADCAST_ROWS, broadcast_if_bounded
+from loglattice.plans.joins import broadcast_if_bounded
 from loglattice.plans.durable import durable
 from loglattice.plans.ordered import into_blocks, running_sum
 from loglattice.plans.topk import bounded_by_time, within
@@ -52,51 +52,13 @@ def full(df: DataFrame, view: LogView, columns: Extra = ()) -> DataFrame:
 def extract(df: DataFrame, view: LogView, paths: Sequence[str] | Mapping[str, str]) -> DataFrame:
     """Nested fields as columns of their own, one per path.
 
-    Several paths into one JSON text column are read by a single parse of the text.
+    A path is read the same way whether it is asked alone or with others: of repeated keys the first
+    counts, text that is no JSON gives NULL.  Spark evaluates the paths of one text column together.
     """
     scope = Scope(df, view)
     named = dict(paths) if isinstance(paths, Mapping) else {p: p for p in paths}
     fields = {alias: scope.get(p).field for alias, p in named.items()}
-    json_text: dict[str, dict[str, str]] = {}
-    for alias, f in fields.items():
-        if f.source == "json":
-            container = f.display[: -len(f.name) - 1]
-            if isinstance(df.schema[container].dataType, T.StringType):
-                json_text.setdefault(container, {})[alias] = f.name
-    once: dict[str, Column] = {}
-    parsed = {}
-    for container, wanted in json_text.items():
-        schema = _text_schema(wanted.values()) if len(wanted) > 1 else None
-        if schema is not None:
-            holder = f"__json_{container}"
-            parsed[holder] = F.from_json(quoted(container), schema)
-            for alias, path in wanted.items():
-                once[alias] = quoted(holder, *path.split("."))
-    base = df.withColumns(parsed) if parsed else df
-    out = base.select(*df.columns, *[once.get(a, f.column).alias(a) for a, f in fields.items()])
-    return out
-
-
-def _text_schema(paths) -> T.StructType | None:
-    """Nested struct of strings covering the paths; None if one path lies inside another."""
-    tree: dict = {}
-    for path in paths:
-        node = tree
-        *inner, leaf = path.split(".")
-        for seg in inner:
-            node = node.setdefault(seg, {})
-            if node is None:
-                return None
-        if leaf in node and node[leaf] is not None:
-            return None
-        node[leaf] = None
-
-    def build(node: dict) -> T.StructType:
-        return T.StructType(
-            [T.StructField(k, T.StringType() if v is None else build(v)) for k, v in node.items()]
-        )
-
-    return build(tree)
+    return df.select(*df.columns, *[f.column.alias(a) for a, f in fields.items()])
 
 
 def _key_parts(df: DataFrame, view: LogView) -> dict[str, Column]:
@@ -159,12 +121,12 @@ def explore(
     limit: int = DEFAULT_LIMIT,
     projection: str = "full",
     columns: Extra = (),
-    time_first: bool | None = None,
+    time_first: bool = False,
 ) -> DataFrame:
     """The first ``limit`` matching rows in the chosen order (a top-k, never a full sort).
 
-    Lists by time over very large inputs look at the timestamps first (see ``plans.topk``);
-    ``time_first`` overrides that choice.
+    With ``time_first`` a list by time looks at the timestamps before it reads the wide rows (see
+    ``plans.topk``), which pays on inputs of very many scan tasks.
     """
     rows = filter_logs(df, view, where) if where is not None else df
     if view.timestamp and sort in (None, view.timestamp, ROLE_ALIASES["timestamp"]):
@@ -182,11 +144,12 @@ def page(
     where: Predicate | None = None,
     sort: str | None = None,
     descending: bool = True,
+    time_first: bool = False,
 ) -> DataFrame:
     """Page ``number`` (from 0) by offset.  Cost grows with depth; see :func:`page_after`."""
     rows = filter_logs(df, view, where) if where is not None else df
     if view.timestamp and sort in (None, view.timestamp, ROLE_ALIASES["timestamp"]):
-        rows = bounded_by_time(rows, view, (number + 1) * size, descending)
+        rows = bounded_by_time(rows, view, (number + 1) * size, descending, time_first)
     order = _order(Scope(rows, view), sort, descending)
     return (rows.orderBy(*order) if order else rows).offset(number * size).limit(size)
 
@@ -202,22 +165,29 @@ def page_after(
     last: Mapping[str, object],
     size: int = PAGE_SIZE,
     where: Predicate | None = None,
+    time_first: bool = False,
 ) -> DataFrame:
-    """The page after the row ``last`` (its timestamp and row id), newest first, at any depth."""
+    """The page after the row ``last`` (its timestamp and row id), newest first, at any depth.
+
+    Rows without a timestamp come last.  ``time_first`` as in :func:`explore`.
+    """
     view.require("timestamp")
     if not view.row_id:
         raise ValueError("paging by key needs row_id columns")
     rows = filter_logs(df, view, where) if where is not None else df
     scope = Scope(rows, view)
     ts = scope.role("timestamp")
-    at = timestamp_literal(last[view.timestamp], scope.role_type("timestamp"))
     tie = F.lit(False)
     same = F.lit(True)
     for rid in view.row_id:
         tie = tie | (same & (quoted(rid) > F.lit(last[rid])))
         same = same & (quoted(rid) == F.lit(last[rid]))
+    if last[view.timestamp] is None:  # among the rows without a timestamp, which are listed last
+        return rows.filter(ts.isNull() & tie).orderBy(*_order(scope, None, True)).limit(size)
+    at = timestamp_literal(last[view.timestamp], scope.role_type("timestamp"))
     # the plain range also reaches the file scan; the disjunction alone would not
-    later = bounded_by_time(rows.filter(ts <= at).filter((ts < at) | tie), view, size)
+    reach = rows.filter((ts <= at) | ts.isNull()).filter((ts < at) | (tie & (ts == at)) | ts.isNull())
+    later = bounded_by_time(reach, view, size, force=time_first)
     return later.orderBy(*_order(scope, None, True)).limit(size)
 
 
@@ -240,37 +210,30 @@ def detail(df: DataFrame, view: LogView, row: Mapping[str, object]) -> DataFrame
     return (rows.orderBy(*order) if order else rows).limit(1)
 
 
-def hydrate(
-    df: DataFrame,
-    narrow: DataFrame,
-    view: LogView,
-    narrow_rows: int | None = None,
-    time: tuple | None = None,
-) -> DataFrame:
+def hydrate(df: DataFrame, narrow: DataFrame, view: LogView, time: tuple | None = None) -> DataFrame:
     """Every narrow row with one full row of the same content key, NULL where there is none.
 
-    ``narrow_rows`` is the LIMIT the narrow side was built with.  Within the broadcast bound the
-    narrow rows are written out once, their time span prunes the scan of the log table, and they are
-    sent to every task, so the log table is not shuffled whole.  Copies of one content key are
-    reduced to one row before the join, so a key shared by many rows stays one row.
+    The narrow rows are written out once and their time span prunes the scan of the log table.  Their
+    distinct keys then pick the rows that are wanted at all, by a semi-join that Spark carries out as
+    the size it has measured suggests.  Copies of one content key are reduced to one row before the
+    join, so a key shared by many rows stays one row.
     """
     rows = filter_logs(df, view, time_range(*time)) if time else df
-    if narrow_rows is not None and narrow_rows <= BROADCAST_ROWS:
-        narrow = durable(narrow)
-        stamp = next((c for c in (ROLE_ALIASES["timestamp"], view.timestamp) if c and c in narrow.columns), None)
-        if view.timestamp and stamp:
-            span = [narrow.agg(f(quoted(stamp))).scalar() for f in (F.min, F.max)]
-            rows = rows.filter(within(Scope(rows, view), *span, keep_null=True))
-        # compare the columns themselves, so only the few survivors are hashed
-        theirs, ours = _key_parts(narrow, view), _key_parts(rows, view)
-        wanted = narrow.select(*[c.alias(f"__n_{r}") for r, c in theirs.items()])
-        same = [c.eqNullSafe(F.col(f"__n_{r}")) for r, c in ours.items() if r in theirs]
-        rows = rows.join(F.broadcast(wanted), reduce(lambda a, b: a & b, same), "left_semi")
+    narrow = durable(narrow)
+    stamp = next((c for c in (ROLE_ALIASES["timestamp"], view.timestamp) if c and c in narrow.columns), None)
+    if view.timestamp and stamp:
+        span = [narrow.agg(f(quoted(stamp))).scalar() for f in (F.min, F.max)]
+        rows = rows.filter(within(Scope(rows, view), *span, keep_null=True))
+    # compare the columns themselves, so only the survivors are hashed
+    theirs, ours = _key_parts(narrow, view), _key_parts(rows, view)
+    wanted = narrow.select(*[c.alias(f"__n_{r}") for r, c in theirs.items()]).distinct()
+    same = [c.eqNullSafe(F.col(f"__n_{r}")) for r, c in ours.items() if r in theirs]
+    rows = rows.join(wanted, reduce(lambda a, b: a & b, same), "left_semi")
     keyed = rows.withColumn("__key", row_key(rows, view))
     left = narrow.withColumn("__key", row_key(narrow, view))
     tie = F.struct(*[quoted(r) for r in view.row_id]) if view.row_id else F.xxhash64(F.to_json(F.struct(*df.columns)))
     one = keyed.groupBy("__key").agg(F.min_by(F.struct(*[quoted(c) for c in df.columns]), tie).alias("__row"))
-    joined = left.join(broadcast_if_bounded(one, narrow_rows), "__key", "left")
+    joined = left.join(one, "__key", "left")
     kept = [c for c in narrow.columns if c not in df.columns]
     return joined.select(*[quoted(c) for c in kept], *[quoted("__row", c).alias(c) for c in df.columns])
 
@@ -294,6 +257,7 @@ def surrounding(
     n: int = 25,
     direction: str = "before",
     where: Predicate | None = None,
+    time_first: bool = False,
 ) -> DataFrame:
     """``n`` rows strictly before (newest first) or after (oldest first) an instant."""
     if direction not in ("before", "after"):
@@ -303,8 +267,8 @@ def surrounding(
     before = direction == "before"
     rows = filter_logs(rows, view, time_range(None, at) if before else time_range(at, None))
     scope = Scope(rows, view)
-    ts, lit = scope.role("timestamp"), timestamp_literal(at, scope.role_type("timestamp"))
-    rows = bounded_by_time(rows.filter(ts < lit if before else ts > lit), view, n, before)
+    ts, lit = scope.role("timestamp"), bound_literal(at, scope.role_type("timestamp"), "lt" if before else "gt")
+    rows = bounded_by_time(rows.filter(ts < lit if before else ts > lit), view, n, before, time_first)
     top = rows.orderBy(*_order(scope, None, before)).limit(n)
     roles = {"timestamp": "timestamp", "body": "body", "severity": "severity", "service": "serviceName"}
     named = [

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from loglattice.functions.fields import Resolved, Scope
 from loglattice.functions.literals import typed_literal
-from loglattice.operators.predicates import Predicate, all_of, filter_logs, non_empty
+from loglattice.operators.predicates import Predicate, all_of, filter_logs, non_empty, one_of
 from loglattice.view import LogView
 
 # Each operator and its exact opposite.
@@ -71,7 +71,7 @@ def _filter_column(f: Filter, r: Resolved) -> Column:
         chosen = f.values or ((value,) if value not in ("", None) else ())
         if not chosen:
             return F.lit(f.op == "not_one_of")
-        hit = r.column.isin([typed_literal(v, r.dtype) for v in chosen])
+        hit = one_of(r, chosen)
         return hit if f.op == "one_of" else ~hit
     negative = f.op in ("!=", "not_contains")
     if r.kind == "text" or f.op in ("contains", "not_contains"):

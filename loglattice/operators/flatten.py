@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from loglattice.functions.fields import Scope, quoted, semantic_type
 from loglattice.view import LogView
 
-MAX_DEPTH = 10
+#: levels of objects that one expression opens
+LEVELS = 20
 _ENTRY = "array<struct<key string, value string>>"
 
 
@@ -100,26 +101,59 @@ def _opened(path: Column, v: Column, depth: int) -> Column:
     return F.coalesce(F.flatten(below), itself)
 
 
-def variant_leaves(value: Column, max_depth: int = MAX_DEPTH) -> Column:
+def variant_leaves(value: Column, max_depth: int) -> Column:
     """Dotted leaves of a VARIANT object as an array of (path, value), in one expression.
 
-    Objects are opened inside the row and every node is looked at once, so the table is scanned once
-    and nothing is shuffled.  Arrays and scalars are leaves; an object below ``max_depth`` stays a
-    leaf, whole.
+    Objects are opened inside the row and every node is looked at once, so nothing is shuffled.
+    Arrays and scalars are leaves; an object below ``max_depth`` stays a leaf, whole.
     """
     return F.flatten(F.transform(_entries(value), lambda e: _opened(e["key"], e["value"], max_depth - 1)))
 
 
+def with_leaves(df: DataFrame, name: str, value: Column, depth: int) -> DataFrame:
+    """``df`` with the leaves of a VARIANT in column ``name``, opened ``depth`` levels deep.
+
+    An expression opens a bounded number of levels; what is deeper is opened by further ones over the
+    leaves so far.
+    """
+    df = df.withColumn(name, variant_leaves(value, min(depth, LEVELS)))
+    for done in range(LEVELS, depth, LEVELS):
+        more = min(LEVELS, depth - done)
+        df = df.withColumn(name, _deeper(name, more))
+    return df
+
+
+def _deeper(name: str, levels: int) -> Column:
+    return F.flatten(F.transform(quoted(name), lambda x: _opened(x["path"], x["value"], levels)))
+
+
+def depth_of(df: DataFrame, column: str) -> int:
+    """Levels of objects within objects in a JSON column, over all rows.
+
+    Leaves are opened a few levels deep, then twice as deep, until none of them is an object; flat
+    data needs one pass.  A stream has no end to look at, so it must be given a depth.
+    """
+    if df.isStreaming:
+        raise ValueError("give max_depth for a stream")
+    value, depth = as_variant(quoted(column), df.schema[column].dataType), 6
+    while True:
+        opened = with_leaves(df.select(value.alias("__v")), "__leaves", F.col("__v"), depth)
+        left = F.exists("__leaves", lambda x: _entries(x["value"]).isNotNull())
+        if not opened.agg(F.coalesce(F.bool_or(left), F.lit(False))).first()[0]:
+            return depth
+        depth *= 2
+
+
 def leaf_text(v: Column) -> Column:
     """Strings as they are, JSON null as '', arrays and objects as JSON text, other scalars printed."""
     scalar = F.try_variant_get(v, "$", "string")
     return F.when(F.is_variant_null(v), F.lit("")).otherwise(F.coalesce(scalar, F.to_json(v)))
 
 
-def _json_entries(col: Column, dtype: T.DataType, prefix: str, max_depth: int) -> Column:
+def _json_entries(leaves: Column, prefix: str) -> Column:
     lead = F.lit(f"{prefix}.") if prefix else F.lit("")
     return F.transform(
-        variant_leaves(as_variant(col, dtype), max_depth),
+        leaves,
         lambda x: F.struct(F.concat(lead, x["path"]).alias("key"), leaf_text(x["value"]).alias("value")),
     )
 
@@ -160,12 +194,16 @@ def flatten_map(df: DataFrame, view: LogView, columns: Sequence[str] | None = No
 
 
 def flatten_json(
-    df: DataFrame, view: LogView, column: str, max_depth: int = MAX_DEPTH, keep: Sequence[str] | None = None
+    df: DataFrame, view: LogView, column: str, max_depth: int | None = None, keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """(kept columns, key, value) for every dotted leaf of a JSON column; non-objects give no row."""
+    """(kept columns, key, value) for every dotted leaf of a JSON column; non-objects give no row.
+
+    Objects are opened as deep as the data goes, unless ``max_depth`` says where to stop.
+    """
     keep = list(view.row_id) if keep is None else list(keep)
-    entries = _json_entries(quoted(column), df.schema[column].dataType, "", max_depth)
-    return df.select(*[quoted(k) for k in keep], F.inline(entries))
+    max_depth = depth_of(df, column) if max_depth is None else max_depth
+    opened = with_leaves(df, "__leaves", as_variant(quoted(column), df.schema[column].dataType), max_depth)
+    return opened.select(*[quoted(k) for k in keep], F.inline(_json_entries(F.col("__leaves"), "")))
 
 
 def _text(col: Column, dtype: T.DataType) -> Column:
@@ -185,7 +223,7 @@ def column_entries(df: DataFrame, view: LogView) -> list[tuple[str, Column]]:
 
 
 def flatten_rows(
-    df: DataFrame, view: LogView, keep: Sequence[str] | None = None, max_depth: int = MAX_DEPTH
+    df: DataFrame, view: LogView, keep: Sequence[str] | None = None, max_depth: int | None = None
 ) -> DataFrame:
     """Whole rows as (kept columns, key, value, type): plain columns printed, containers as their leaves.
 
@@ -194,12 +232,15 @@ def flatten_rows(
     """
     scope = Scope(df, view)
     keep = list(view.row_id) if keep is None else list(keep)
-    plain, groups = [], []
+    plain, groups, opened = [], [], df
     for f in df.schema.fields:
         if f.name in scope.map_columns:
             groups.append(_typed(_map_entries(quoted(f.name), f.name)))
         elif f.name in scope.json_columns:
-            groups.append(_typed(_json_entries(quoted(f.name), f.dataType, f.name, max_depth)))
+            depth = depth_of(df, f.name) if max_depth is None else max_depth
+            leaves = f"__leaves_{f.name}"
+            opened = with_leaves(opened, leaves, as_variant(quoted(f.name), f.dataType), depth)
+            groups.append(_typed(_json_entries(quoted(leaves), f.name)))
         else:
             plain.append(
                 F.struct(
@@ -210,7 +251,7 @@ def flatten_rows(
             )
     empty = F.array().cast("array<struct<key string, value string, type string>>")
     parts = ([F.array(*plain)] if plain else []) + [F.coalesce(g, empty) for g in groups]
-    return df.select(*[quoted(k) for k in keep], F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
+    return opened.select(*[quoted(k) for k in keep], F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
 
 
 def _typed(entries: Column) -> Column:

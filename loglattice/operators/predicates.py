@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from loglattice.functions.coarse import coarse_literal
 from loglattice.functions.fields import Resolved, Scope, UnresolvedField
-from loglattice.functions.literals import as_number, timestamp_literal, typed_literal
+from loglattice.functions.literals import as_number, bound_literal, typed_literal
 from loglattice.view import LogView
 
 Binder = Callable[[Scope], "Column | None"]
@@ -65,10 +65,14 @@ def wildcard_pattern(text: str) -> str:
     return escape_like(text).replace("*", "%")
 
 
+#: Fixed value: what may stand beside a phrase.
+NO_WORD = "[^a-zA-Z0-9_]"
+
+
 def phrase_pattern(text: str) -> str:
     """Whole-phrase regex: no letter, digit or underscore may touch either end."""
-    literal = re.sub(r"([.+*?^${}()|\[\]\\])", r"\\\1", text)
-    return f"(?iu)(^|[^a-zA-Z0-9_]){literal}([^a-zA-Z0-9_]|$)"
+    literal = "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return f"(?iu)(^|{NO_WORD}){literal}({NO_WORD}|$)"
 
 
 def _plain_run(text: str) -> str:
@@ -201,7 +205,7 @@ def _range(field: str, op: str, value) -> Predicate:
     def on_field(r: Resolved) -> Column:
         col = r.column
         if isinstance(r.dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            lit = timestamp_literal(value, r.dtype)
+            lit = bound_literal(value, r.dtype, op)
         elif num is not None and isinstance(r.dtype, T.NumericType):
             lit = F.lit(num)
         elif num is not None:
@@ -244,8 +248,8 @@ def values(field: str, first, *rest: tuple[str, object]) -> Predicate:
 
     def on_field(r: Resolved) -> Column:
         plain = not any(isinstance(v, (_Not, _Quoted)) or v is None or v == "null" or "*" in str(v) for v in items)
-        if plain and r.kind != "text" and "and" not in joins and not isinstance(r.dtype, (T.MapType, T.ArrayType)):
-            return r.column.isin([typed_literal(v, r.dtype) for v in items])
+        if plain and r.kind != "text" and "and" not in joins:
+            return one_of(r, items)
         acc = _value(r, first)
         for join, v in rest:
             acc = acc & _value(r, v) if join == "and" else acc | _value(r, v)
@@ -254,6 +258,14 @@ def values(field: str, first, *rest: tuple[str, object]) -> Predicate:
     return _on(field, on_field, "error", field)
 
 
+def one_of(r: Resolved, items: Iterable) -> Column:
+    """The value is one of a list; containers by their text, booleans spelled as in equality."""
+    if isinstance(r.dtype, (T.MapType, T.ArrayType, T.VariantType)):
+        return r.field.as_string().isin([str(v) for v in items])
+    spelled = [str(v).lower() if isinstance(v, bool) and not isinstance(r.dtype, T.BooleanType) else v for v in items]
+    return r.column.isin([typed_literal(v, r.dtype) for v in spelled])
+
+
 @dataclass(frozen=True)
 class _Not:
     value: object
@@ -344,9 +356,9 @@ def time_range(from_=None, to=None, *, closed: bool = True) -> Predicate:
         ts, dtype = scope.role("timestamp"), scope.role_type("timestamp")
         parts = []
         if from_ is not None:
-            parts.append(ts >= timestamp_literal(from_, dtype))
+            parts.append(ts >= bound_literal(from_, dtype, "gte"))
         if to is not None:
-            hi = timestamp_literal(to, dtype)
+            hi = bound_literal(to, dtype, "lte" if closed else "lt")
             parts.append(ts <= hi if closed else ts < hi)
         if view.partition_col:
             p = scope.get(view.partition_col)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loglattice.functions.fields import Scope, quoted
-from loglattice.operators.flatten import MAX_DEPTH, as_variant, variant_leaves
+from loglattice.operators.flatten import as_variant, depth_of, with_leaves
 from loglattice.operators.predicates import Predicate, filter_logs
 from loglattice.plans.topk import bounded_by_time
 from loglattice.view import LogView
@@ -91,10 +91,6 @@ def map_keys(
 ) -> DataFrame:
     """(key, total): distinct keys of a map column in the newest rows, and how many rows were looked at."""
     rows = newest(df, view, sample, where).select(quoted(column).alias("m"))
-    if sample is not None:  # the sample is read once and folded into one row
-        keys = F.array_distinct(F.flatten(F.collect_list(F.map_keys("m"))))
-        folded = rows.agg(keys.alias("ks"), F.count("*").alias("total"))
-        return folded.select(F.explode("ks").alias("key"), "total")
     counted = rows.select(F.explode(F.map_keys("m")).alias("key")).distinct()
     return counted.withColumn("total", rows.agg(F.count("*")).scalar())
 
@@ -105,15 +101,17 @@ def map_key_counts(df: DataFrame, column: str, where: Column | None = None) -> D
     return rows.select(F.explode(F.map_keys(quoted(column))).alias("key")).groupBy("key").agg(F.count("*").alias("count"))
 
 
-def json_paths(df: DataFrame, column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def json_paths(df: DataFrame, column: str, max_depth: int | None = None) -> DataFrame:
     """(path, type, count): every leaf path of a JSON column over the whole table.
 
     Types of one path merge as Spark merges VARIANT schemas.  Leaves are counted inside each task
-    first, so what is shuffled is one row per path and task.
+    first, so what is shuffled is one row per path and task.  Objects are opened as deep as the data
+    goes, unless ``max_depth`` says where to stop.
     """
-    leaves = variant_leaves(as_variant(quoted(column), df.schema[column].dataType), max_depth)
+    max_depth = depth_of(df, column) if max_depth is None else max_depth
+    opened = with_leaves(df, "__leaves", as_variant(quoted(column), df.schema[column].dataType), max_depth)
     return (
-        df.select(F.inline(leaves))
+        opened.select(F.inline("__leaves"))
         .groupBy("path")
         .agg(F.schema_of_variant_agg("value").alias("type"), F.count("*").alias("count"))
     )

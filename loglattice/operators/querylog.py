@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loglattice.functions.fields import quoted
 from loglattice.functions.literals import timestamp_literal, naive_utc
 from loglattice.functions.text import FINDINGS, findings, last_limit, redact_words, strip_literals
+from loglattice.operators.traces import SERVER_KIND
 
 # Event types that end a query.
 FINAL_TYPES = ("QueryFinish", "ExceptionWhileProcessing", "ExceptionBeforeStart")
@@ -98,7 +99,7 @@ def correlation_status(spans: DataFrame, qlog: DataFrame, tagged: Column | None
 
 
 def split_server_time(
-    spans: DataFrame, duration: str = "server_query_duration_ms", server_kind: str = "server"
+    spans: DataFrame, duration: str = "server_query_duration_ms", server_kind: str = SERVER_KIND
 ) -> DataFrame:
     """Transport and server parts of every finished query span with a server duration.
 
@@ -108,13 +109,13 @@ def split_server_time(
     """
     kids = (
         spans.filter(F.col("kind").isin("decode", server_kind))
-        .groupBy(F.col("parent_id").alias("id"))
+        .groupBy("root_id", F.col("parent_id").alias("id"))
         .agg(
             F.min(F.when(F.col("kind") == "decode", F.col("start_ms"))).alias("decode_start"),
             F.bool_or(F.col("kind") == server_kind).alias("has_server"),
         )
     )
-    todo = spans.filter(F.col("end_ms").isNotNull() & (quoted(duration) > 0)).join(kids, "id", "left")
+    todo = spans.filter(F.col("end_ms").isNotNull() & (quoted(duration) > 0)).join(kids, ["root_id", "id"], "left")
     edge = F.coalesce("decode_start", "end_ms")
     todo = todo.filter(~F.coalesce("has_server", F.lit(False))).withColumn("__edge", edge.cast("double"))
     todo = todo.filter(F.col("__edge") > F.col("start_ms"))

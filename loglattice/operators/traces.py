@@ -1,8 +1,8 @@
 """Traces and spans.
 
 A span table has ``id, parent_id, root_id, name, kind, start_ms, end_ms, status`` and, where known,
-``error`` and ``attrs``.  Roots have ``parent_id`` NULL and ``root_id = id``.  Facts about a tree
-are aggregated per root and joined back; no window ever holds a whole tree in one task.
+``error`` and ``attrs``.  Roots have ``parent_id`` NULL or ''; ``root_id`` names the tree.  Facts about a
+tree are aggregated per root and joined back; no window ever holds a whole tree in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglattice.functions.fields import Scope, quoted
 from loglattice.operators.predicates import filter_logs, time_range
@@ -21,8 +22,9 @@ from loglattice.plans.ordered import into_blocks, previous, running_sum
 from loglattice.plans.topk import within
 from loglattice.view import LogView
 
-# Span kinds that are phases of a query.
-PHASES = ("server", "transport", "decode", "render", "build")
+SERVER_KIND = "server"
+# Span kinds that are phases of a query: fixed values, but for the server's, whose name is a parameter.
+PHASES = (SERVER_KIND, "transport", "decode", "render", "build")
 TRACE_PAD = "5 minutes"
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 
@@ -79,46 +81,83 @@ def join_logs_traces(
 
 # --- trees --------------------------------------------------------------------------------------
 
-def span_tree(spans: DataFrame, order: Sequence[str] = ("start_ms", "id"), max_depth: int = 4096, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Depth and depth-first sort path of every span reachable from its root.
+def no_parent(parent: Column) -> Column:
+    """NULL and '' both mean that a span has no parent."""
+    return F.coalesce(parent.cast("string"), F.lit("")) == ""
 
-    Path doubling: each span points at an ancestor and knows the path from there; one self-join
-    makes every pointer jump twice as far, so a tree of depth d takes log2(d) rounds instead of d.
-    The path is an array of ``order`` structs from below the root downwards: sorting by
-    (root_id, path) lists a tree depth first with children in creation order.
+
+def span_tree(spans: DataFrame, order: Sequence[str] = ("start_ms", "id"), hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every span with its depth, depth-first sort path, and whether its root is ``reachable``.
+
+    Spans are known by (root_id, id): an id may come again in another tree.  Path doubling: each span
+    points at an ancestor and knows the path from there; one self-join makes every pointer jump twice
+    as far, so a tree of depth d takes log2(d) rounds instead of d.  A span whose chain of parents
+    breaks off or runs in a circle keeps its row, with NULL depth and path.  The path is an array of
+    ``order`` structs from below the root downwards: sorting by (root_id, path) lists a tree depth first
+    with children in creation order.
     """
     own = F.array(F.struct(*[quoted(c) for c in order]))
-    is_root = F.col("parent_id").isNull()
-    top = F.col("parent_id") == F.col("root_id")
+    root = no_parent(F.col("parent_id"))
+    key = F.struct(F.col("root_id"), F.col("id"))
+    above = F.struct(F.col("root_id"), F.col("parent_id").cast(spans.schema["id"].dataType).alias("id"))
     links = durable(
         spans.select(
-            "id",
-            "root_id",
-            # NULL once the path reaches the root
-            F.when(is_root | top, None).otherwise(F.col("parent_id")).alias("up"),
-            F.when(is_root, F.array().cast(_array_type(spans, order))).otherwise(own).alias("path"),
+            key.alias("__key"),
+            F.when(~root, above).alias("up"),  # NULL once the path reaches the root
+            F.when(root, F.array().cast(_array_type(spans, order))).otherwise(own).alias("path"),
         )
     )
     done = links.filter(F.col("up").isNull())
     open_ = links.filter(F.col("up").isNotNull())
-    rounds = 0
-    while not open_.isEmpty():
-        if 2**rounds > max_depth:
-            raise ValueError(f"a span chain is longer than {max_depth} or loops")
+    longest = spans.groupBy("root_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    reach = 1
+    while reach <= 2 * longest and not open_.isEmpty():  # what is open then runs in a circle
         sizes = open_.groupBy(F.col("up")).agg(F.count("*").alias("n_rows"))
         ancestors = done.unionByName(open_).select(
-            F.col("id").alias("up"), F.col("up").alias("__next"), F.col("path").alias("__above")
+            F.col("__key").alias("up"), F.col("up").alias("__next"), F.col("path").alias("__above")
         )
         facts = sizes.join(ancestors, "up")
-        joined = join_group_facts(open_, facts, "up", F.xxhash64("id"), hot_rows=hot_rows)
-        moved = durable(
-            joined.select("id", "root_id", F.col("__next").alias("up"), F.concat("__above", "path").alias("path"))
-        )
+        joined = join_group_facts(open_, facts, "up", F.xxhash64("__key"), hot_rows=hot_rows)
+        moved = durable(joined.select("__key", F.col("__next").alias("up"), F.concat("__above", "path").alias("path")))
         done = done.unionByName(moved.filter(F.col("up").isNull()))
         open_ = moved.filter(F.col("up").isNotNull())
-        rounds += 1
-    tree = done.select("id", F.size("path").alias("depth"), "path")
-    return spans.join(tree, "id")
+        reach *= 2
+    tree = done.select("__key", F.size("path").alias("depth"), "path")
+    joined = spans.withColumn("__key", key).join(tree, "__key", "left").drop("__key")
+    return joined.withColumn("reachable", F.col("depth").isNotNull())
+
+
+def otel_spans(
+    traces: DataFrame, timestamp: str = "Timestamp", trace_id: str = "TraceId", span_id: str = "SpanId", parent_id: str = "ParentSpanId",
+    name: str = "SpanName", kind: str = "SpanKind", duration: str = "Duration", status: str = "StatusCode",
+    message: str = "StatusMessage", attributes: str = "SpanAttributes", resource: str = "ResourceAttributes",
+) -> DataFrame:
+    """An OpenTelemetry trace table as spans.
+
+    The trace id stands for the root.  Durations are nanoseconds; a span without one is running.  The
+    span's attributes win over those of its resource.  Columns the table lacks give NULL.
+    """
+    has = set(traces.columns)
+    text = lambda c: quoted(c).cast("string") if c in has else F.lit(None).cast("string")
+    ts = quoted(timestamp)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    ntz = isinstance(traces.schema[timestamp].dataType, T.TimestampNTZType)
+    micros = F.timestamp_diff("MICROSECOND", epoch, ts) if ntz else F.unix_micros(ts.cast("timestamp"))
+    start = micros / 1000
+    end = start + quoted(duration).cast("double") / 1_000_000 if duration in has else F.lit(None).cast("double")
+    failed = F.lower(text(status)).endswith("error")
+    maps = [quoted(c) for c in (attributes, resource) if c in has and isinstance(traces.schema[c].dataType, T.MapType)]
+    none = F.create_map().cast("map<string,string>")
+    given = [F.coalesce(m.cast("map<string,string>"), none) for m in maps]
+    attrs = given[0] if given else none
+    if len(given) > 1:
+        attrs = F.map_concat(F.map_filter(given[1], lambda k, _: ~F.map_contains_key(given[0], k)), given[0])
+    return traces.select(
+        text(span_id).alias("id"), F.nullif(text(parent_id), F.lit("")).alias("parent_id"), text(trace_id).alias("root_id"),
+        text(name).alias("name"), text(kind).alias("kind"), start.alias("start_ms"), end.alias("end_ms"),
+        F.when(end.isNull(), "running").when(failed, "error").otherwise("ok").alias("status"),
+        F.when(failed, F.nullif(text(message), F.lit(""))).alias("error"), attrs.alias("attrs"),
+    )
 
 
 def _array_type(spans: DataFrame, order: Sequence[str]) -> str:
@@ -136,7 +175,7 @@ def tree_end(spans: DataFrame) -> DataFrame:
 
 
 def _tree_facts(spans: DataFrame) -> DataFrame:
-    root_start = F.max(F.when(F.col("parent_id").isNull(), F.col("start_ms")))
+    root_start = F.max(F.when(no_parent(F.col("parent_id")), F.col("start_ms")))
     return spans.groupBy("root_id").agg(
         root_start.alias("root_start"),
         F.when(F.count_if(F.col("end_ms").isNull()) == 0, F.max("end_ms")).alias("tree_end"),
@@ -196,7 +235,7 @@ def action_summary(spans: DataFrame, is_query: Column, read_rows: Column | None
     now = F.lit(None).cast("double") if now_ms is None else F.lit(float(now_ms))
     rr = F.lit(None).cast("bigint") if read_rows is None else read_rows
     rb = F.lit(None).cast("bigint") if read_bytes is None else read_bytes
-    start = F.max(F.when(F.col("parent_id").isNull(), F.col("start_ms")))
+    start = F.max(F.when(no_parent(F.col("parent_id")), F.col("start_ms")))
     end = F.when(F.count_if(F.col("end_ms").isNull()) == 0, F.max("end_ms"))
     return spans.groupBy("root_id").agg(
         F.when(F.coalesce(end, now).isNotNull(), F.greatest(F.coalesce(end, now) - start, F.lit(0.0))).alias("duration_ms"),

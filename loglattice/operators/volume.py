@@ -35,20 +35,23 @@ def volume(
     top: int = 10,
     where: Predicate | None = None,
     time: tuple | None = None,
+    max_buckets: int | None = None,
 ) -> DataFrame:
-    """(time, level, count).
+    """(time, level, count).  Rows without a timestamp are in no bucket.
 
+    ``max_buckets`` refuses an interval with more buckets over ``time``.
     ``by=None``: one series with level ''.  ``by="severity"``: the severity role, case kept, NULL
     as 'unknown'.  ``by=<field>``: its ``top`` most frequent values over the whole filtered range,
     everything else (and NULL) as 'Other'.
     """
     view.require("timestamp")
     from_, to = time if time else (None, None)
-    interval = resolve_interval(interval, from_, to)
+    interval = resolve_interval(interval, from_, to, max_buckets)
     rows = filter_logs(df, view, time_range(from_, to)) if time else df
     if where is not None:
         rows = filter_logs(rows, view, where)
     scope = Scope(rows, view)
+    rows = rows.filter(scope.role("timestamp").isNotNull())
     at = bucket(scope.role("timestamp"), interval, scope.role_type("timestamp")).alias("time")
     if by is None:
         return rows.groupBy(at).agg(F.count("*").alias("count")).select("time", F.lit("").alias("level"), "count")

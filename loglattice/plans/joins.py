@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 10_000
 #: rows of one key above which the key is spread over several tasks
 HOT_ROWS = 5_000_000
+#: ``hot_rows`` from which the list of hot keys is short enough for every executor
+SURELY_FEW = 1_000_000
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -27,14 +29,15 @@ def join_group_facts(
 ) -> DataFrame:
     """Attach one-row-per-key ``facts`` to ``rows``, spreading hot keys.
 
-    ``facts[size_col]`` counts the rows of each key.  Keys above ``hot_rows`` are few (at most
-    total rows / hot_rows), so that list alone is broadcast; their rows get a salt from ``row_hash``
-    and their single fact row is repeated once per salt.  All other keys join with salt 0.
+    ``facts[size_col]`` counts the rows of each key.  Rows of keys above ``hot_rows`` get a salt from
+    ``row_hash`` and their single fact row is repeated once per salt.  All other keys join with salt 0.
+    There are at most total rows / hot_rows hot keys: from ``SURELY_FEW`` on, their list is broadcast
+    (10**13 rows have ten million keys at most); with smaller ``hot_rows`` Spark decides by its size.
     """
     salts = (F.col(size_col) / F.lit(hot_rows)).cast("int") + 1
     hot = facts.filter(F.col(size_col) > hot_rows).select(F.col(on), salts.alias("__salts"))
     salted_rows = (
-        rows.join(F.broadcast(hot), on, "left")
+        rows.join(F.broadcast(hot) if hot_rows >= SURELY_FEW else hot, on, "left")
         .withColumn("__salt", F.coalesce(F.pmod(row_hash, F.col("__salts")), F.lit(0)).cast("int"))
         .drop("__salts")
     )

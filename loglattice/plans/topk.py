@@ -18,24 +18,9 @@ from loglattice.functions.coarse import coarse_column
 from loglattice.functions.fields import Scope
 from loglattice.view import LogView
 
-#: rows arriving in the one task that merges the tops of all others, above which to bound first
-MERGE_ROWS = 1_000_000
 _FAR = {True: "0001-01-01 00:00:00", False: "9999-12-31 23:59:59"}
 
 
-def scan_tasks(df: DataFrame) -> int:
-    """Roughly how many tasks scan the input, from the plan's size statistics.
-
-    Without access to them (a remote session) the input counts as large.
-    """
-    if not hasattr(df, "_jdf"):
-        return MERGE_ROWS
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    text = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
-    per_task = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
-    return max(1, size // max(1, per_task))
-
-
 def within(scope: Scope, lo: Column | None, hi: Column | None, keep_null: bool = False) -> Column:
     """Timestamp role between two columns (scalar subqueries), asked of the partition column too.
 
@@ -57,20 +42,27 @@ def within(scope: Scope, lo: Column | None, hi: Column | None, keep_null: bool =
     return out
 
 
-def bounded_by_time(rows: DataFrame, view: LogView, n: int, newest: bool = True, force: bool | None = None) -> DataFrame:
+def bounded_by_time(rows: DataFrame, view: LogView, n: int, newest: bool = True, force: bool = False) -> DataFrame:
     """The rows that can be among the first ``n`` by time; a superset, still to be sorted and cut.
 
-    ``force`` overrides the decision whether looking at the timestamps first is worth it.
+    Without ``force`` the rows as they are.  The minute that holds the n-th row is found in two levels:
+    among the days, then among the minutes of one day, so what one task orders is a row per day or 1,440.
     """
-    if not (scan_tasks(rows) * n > MERGE_ROWS if force is None else force):
+    if not force:
         return rows
     scope = Scope(rows, view)
     dtype = scope.role_type("timestamp")
-    minutes = rows.groupBy(bucket(scope.role("timestamp"), "minute", dtype).alias("__m")).agg(F.count("*").alias("__n"))
-    # one row per minute of data
-    order = F.col("__m").desc() if newest else F.col("__m").asc()
-    seen = minutes.withColumn("__seen", F.sum("__n").over(Window.orderBy(order)))
-    enough = F.when(F.col("__seen") >= n, F.col("__m"))
+    minute = bucket(scope.role("timestamp"), "minute", dtype).alias("__m")
+    minutes = rows.filter(scope.role("timestamp").isNotNull()).groupBy(minute).agg(F.count("*").alias("__n"))
+    minutes = minutes.withColumn("__d", F.to_date("__m"))
+    days = minutes.groupBy("__d").agg(F.sum("__n").alias("__n"))
+    turned = lambda c: F.col(c).desc() if newest else F.col(c).asc()
+    running = days.withColumn("__seen", F.sum("__n").over(Window.orderBy(turned("__d"))))
+    last = running.filter(F.col("__seen") >= n).orderBy("__seen", turned("__d")).limit(1)
+    edge_day = last.select("__d", (F.col("__seen") - F.col("__n")).alias("__before"))
+    inside = minutes.join(F.broadcast(edge_day), "__d")  # one row
+    seen = inside.withColumn("__sum", F.col("__before") + F.sum("__n").over(Window.partitionBy("__d").orderBy(turned("__m"))))
+    enough = F.when(F.col("__sum") >= n, F.col("__m"))
     edge = F.max(enough) if newest else F.min(enough) + F.expr("interval 1 minute")
     far = F.lit(_FAR[newest]).cast(dtype)
     bound = seen.agg(F.coalesce(edge.cast(dtype), far).alias("__edge")).scalar()

@@ -37,7 +37,7 @@ def test_strip_literals_equals_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string").select("id", strip_literals(F.col("t")).alias("t"))
     got = {r.id: r.t for r in df.collect()}
     for i, t in enumerate(TEXTS):
-        assert got[i] == (None if t is None else brute_strip(t.replace("", "").replace("", ""))), t
+        assert got[i] == (None if t is None else brute_strip(t)), t
 
 
 def test_redact_words(spark):

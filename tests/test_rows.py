@@ -98,11 +98,10 @@ def test_detail_uses_the_millisecond_and_the_content(logs):
     assert detail(logs, VIEW, null_sev).first().id == 0
 
 
-@pytest.mark.parametrize("bound", [None, 100])
-def test_hydrate_gives_one_full_row_per_narrow_row(spark, logs, bound):
+def test_hydrate_gives_one_full_row_per_narrow_row(spark, logs):
     doubled = logs.unionByName(logs.withColumn("id", F.col("id") + 1000))
     narrow = grid(logs, VIEW).unionByName(grid(logs, VIEW).limit(1).withColumn("__body", F.lit("nowhere")))
-    got = hydrate(doubled, narrow, VIEW, narrow_rows=bound).collect()
+    got = hydrate(doubled, narrow, VIEW).collect()
     assert len(got) == 61
     assert sorted(r.id for r in got if r.id is not None) == list(range(60))
     assert [r["__body"] for r in got if r.id is None] == ["nowhere"]
@@ -173,6 +172,24 @@ def test_rules(logs):
     assert {r.rule: r["count"] for r in count_matches(logs, VIEW, rules).collect()} == {"late": 10, "sev": 40, "never": 0}
 
 
+def test_paging_by_key_reaches_rows_without_a_timestamp(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, T0), (4, T0)], "id int, ts timestamp")
+    view = LogView(timestamp="ts", row_id=("id",))
+    seen, last = [], {"ts": T0 + dt.timedelta(days=1), "id": 0}
+    while (got := page_after(df, view, last, size=1).collect()):
+        seen.append(got[0].id)
+        last = {"ts": got[0].ts, "id": got[0].id}
+    assert seen == [3, 4, 1, 2]
+
+
+def test_a_path_reads_the_same_alone_and_with_others(spark):
+    df = spark.createDataFrame([('{"a":1,"b":2,"a":3}',), ("{bad",), (None,)], "p string")
+    view = LogView(json_columns=("p",))
+    alone = [r[1] for r in extract(df, view, ["p.a"]).collect()]
+    both = [r[1] for r in extract(df, view, ["p.a", "p.b"]).collect()]
+    assert alone == both
+
+
 @pytest.mark.parametrize("newest", [True, False])
 @pytest.mark.parametrize("n", [1, 7, 30, 100])
 def test_looking_at_timestamps_first_changes_nothing(spark, newest, n):
@@ -192,7 +209,7 @@ def test_hydrate_prunes_the_scan_by_the_page(spark, tmp_path):
     spark.createDataFrame(rows, "id int, ts timestamp, body string").write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     view = LogView(timestamp="ts", body="body", row_id=("id",))
-    out = hydrate(df, grid(explore(df, view, limit=5), view), view, narrow_rows=5)
+    out = hydrate(df, grid(explore(df, view, limit=5), view), view)
     assert sorted(r.id for r in out.collect()) == [45, 46, 47, 48, 49]
     assert "GreaterThanOrEqual(ts" in out._jdf.queryExecution().executedPlan().toString()
 

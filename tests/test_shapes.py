@@ -54,7 +54,15 @@ def test_flatten_json_equals_brute_force(docs):
         assert sorted(got.get(i, [])) == expected(i), TEXTS[i]
 
 
-def test_objects_below_the_depth_stay_whole(docs):
+def test_depth_comes_from_the_data(spark):
+    rows = [(n, "".join(f'{{"d{i}":' for i in range(n)) + "1" + "}" * n) for n in (1, 7, 13, 25)]
+    df = spark.createDataFrame(rows, "id int, p string")
+    got = {r.id: r.key for r in flatten_json(df, VIEW, "p").collect()}
+    assert got == {n: ".".join(f"d{i}" for i in range(n)) for n, _ in rows}
+    assert {r.path for r in json_paths(df, "p").collect()} == set(got.values())
+
+
+def test_objects_below_a_given_depth_stay_whole(docs):
     deep = flatten_json(docs.filter("id = 10"), VIEW, "p", max_depth=10).collect()
     assert [(r.key, r.value) for r in deep] == [("d1.d2.d3.d4.d5.d6.d7.d8.d9.d10", '{"d11":1}')]
 

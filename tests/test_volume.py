@@ -28,7 +28,8 @@ def test_interval_rules():
     assert estimate_buckets("minute", EPOCH, after(3600)) == 60
     assert 30 < estimate_buckets("auto", EPOCH, after(3600)) <= 60
     with pytest.raises(ValueError):
-        resolve_interval("second", EPOCH, after(3600))
+        resolve_interval("second", EPOCH, after(3600), max_buckets=1000)
+    assert resolve_interval("second", EPOCH, after(3600)) == "second"
     with pytest.raises(ValueError):
         resolve_interval("fortnight")
     with pytest.raises(ValueError):
