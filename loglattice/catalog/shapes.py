@@ -84,6 +84,14 @@ SQL["flatten_json_deep"] = DEEP_SQL
 QUERIES["json_paths_deep"] = lambda s, d: json_paths(deep(s, d), "payload").select("path", "count")
 SQL["json_paths_deep"] = f"SELECT key AS path, count(*) AS count FROM ({DEEP_SQL}) GROUP BY key"
 
+QUERIES["flatten_span_attributes"] = lambda s, d: flatten_rows(
+    text_attrs(s, d).select("event_id", "attrs"), LogView(row_id=("event_id",), span_attributes="attrs")
+).filter("key <> 'event_id'").withColumn("value", F.replace("value", F.lit(" "), F.lit("")))
+SQL["flatten_span_attributes"] = f"""
+  SELECT event_id, 'attrs.type' AS key, event_type AS value, 'string' AS type FROM ({TEXT_SQL}) WHERE event_id % 5 < 3
+  UNION ALL SELECT event_id, 'attrs.n', CAST(user_id AS VARCHAR), 'string' FROM ({TEXT_SQL}) WHERE event_id % 5 = 0
+  UNION ALL SELECT event_id, 'attrs.more', replace(props, ' ', ''), 'string' FROM ({TEXT_SQL}) WHERE event_id % 5 = 2"""
+
 QUERIES["flatten_row"] = lambda s, d: flatten_rows(attr_events(s, d), ATTR_EVENTS)
 SQL["flatten_row"] = f"""
   WITH t AS (SELECT event_id, CAST(ts AS VARCHAR) AS ts, CAST(event_id AS VARCHAR) AS id, event_type, service, message, CAST(value AS VARCHAR) AS val FROM ({ATTR_EVENTS_SQL})),

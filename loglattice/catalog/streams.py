@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglattice.catalog.common import ATTR_EVENTS, ATTR_EVENTS_SQL, EVENTS, PREFIX
 from loglattice.catalog.search import RULES, RULES_SQL
 from loglattice.operators import predicates as P
 from loglattice.operators.predicates import filter_logs
 from loglattice.operators.rules import tag_matches
+from loglattice.plans.durable import scratch_path
+from loglattice.sources.logs import read_logs
 from loglattice.streaming.streams import (
-    drain_append, drain_updates, event_time, rank_windows, stream_correlate, stream_dedupe, stream_logs, stream_top_values, stream_volume,
+    event_time, ingest, rank_windows, stream_correlate, stream_dedupe, stream_logs, stream_top_values, stream_volume,
 )
 
 QUERIES: dict = {}
@@ -23,12 +27,55 @@ def arriving(s, d, name="events"):
     return stream_logs(s, d, schema, pathGlobFilter=f"{name}.parquet")
 
 
+def drain_append(stream: DataFrame, label: str) -> DataFrame:
+    """Run an append-mode stream over what is there now and read the result back as a table."""
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+    query = (
+        stream.writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def drain_updates(stream: DataFrame, keys: list[str], value: str, label: str) -> DataFrame:
+    """Run an update-mode aggregate over what is there now and read back the last value of each key.
+
+    Every micro-batch is written under its own batch number, so a batch run again overwrites itself.
+    """
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(save).outputMode("update")
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    log = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    return log.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 def _ntz(df, *cols):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
-QUERIES["src_stream"] = lambda s, d: drain_append(arriving(s, d), "ingest")
-SQL["src_stream"] = "SELECT * FROM events"
+FROM, TO = "2024-01-10 18:00:00", "2024-01-11 07:00:00"
+
+
+def _ingested(s, d):
+    """Events streamed into a partitioned table, read back over a time range."""
+    out, state = scratch_path(s, "ingest"), scratch_path(s, "ingest-state")
+    ingest(arriving(s, d), out, state, EVENTS, trigger={"availableNow": True}).awaitTermination()
+    view = EVENTS.with_(partition_col="event_date", partition_by="day")
+    return filter_logs(read_logs(s, out), view, P.time_range(FROM, TO)).drop("event_date")
+
+
+QUERIES["src_stream"] = _ingested
+SQL["src_stream"] = f"SELECT * FROM events WHERE ts >= TIMESTAMP '{FROM}' AND ts <= TIMESTAMP '{TO}'"
 
 QUERIES["st_volume"] = lambda s, d: _ntz(
     drain_updates(stream_volume(arriving(s, d), EVENTS, "hour"), ["time", "level"], "count", "volume"), "time"

@@ -10,7 +10,7 @@ from loglattice.operators.predicates import filter_logs
 from loglattice.operators.traces import logs_of_trace
 from loglattice.operators.volume import volume
 from loglattice.plans.durable import scratch_path
-from loglattice.sources.logs import apply_retention, expired_partitions, read_logs, run_sql, write_logs
+from loglattice.sources.logs import apply_retention, drop_expired, expired_partitions, read_logs, run_sql, write_logs
 from loglattice.view import LogView
 
 QUERIES: dict = {}
@@ -66,6 +66,18 @@ QUERIES["sink_retention"] = _retained
 SQL["sink_retention"] = f"SELECT * FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY"
 
 
+def _dropped(s, d):
+    """What is left of a table once its expired partitions are gone."""
+    path = scratch_path(s, "logs")
+    view = write_logs(table(s, d, "events"), path, EVENTS, mode="overwrite")
+    drop_expired(s, path, view, NOW)
+    return read_logs(s, path).drop("event_date")
+
+
+QUERIES["sink_retention_drop"] = _dropped
+SQL["sink_retention_drop"] = f"SELECT * FROM events WHERE CAST(ts AS DATE) >= CAST(TIMESTAMP '{NOW}' - INTERVAL 30 DAY AS DATE)"
+
+
 def _expired(s, d):
     df, view = written(s, d)
     return expired_partitions(df, view, NOW)

@@ -236,6 +236,8 @@ def flatten_rows(
     for f in df.schema.fields:
         if f.name in scope.map_columns:
             groups.append(_typed(_map_entries(quoted(f.name), f.name)))
+        elif f.name == view.span_attributes and isinstance(f.dataType, T.StringType):  # a map as text
+            groups.append(_typed(_map_entries(_object_map(quoted(f.name)), f.name)))
         elif f.name in scope.json_columns:
             depth = depth_of(df, f.name) if max_depth is None else max_depth
             leaves = f"__leaves_{f.name}"

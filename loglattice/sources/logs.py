@@ -89,6 +89,17 @@ def apply_retention(df: DataFrame, view: LogView, now, days: int = RETENTION_DAY
     return filter_logs(df, view, time_range(naive_utc(now) - dt.timedelta(days=days), None))
 
 
+def drop_expired(spark: SparkSession, path: str, view: LogView, now, days: int = RETENTION_DAYS, format: str = "parquet") -> list:
+    """Removes the partition folders that hold only expired rows; returns their values."""
+    df = spark.read.format(format).load(path)
+    gone = sorted(r[0] for r in expired_partitions(df, view, now, days).collect())
+    jvm = spark.sparkContext._jvm
+    for value in gone:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{view.partition_col}={value}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
+
+
 def expired_partitions(df: DataFrame, view: LogView, now, days: int = RETENTION_DAYS) -> DataFrame:
     """Partition values that hold only expired rows and may be dropped."""
     if not view.partition_col:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from loglattice.functions.buckets import CALENDAR_UNITS, step_seconds
 from loglattice.functions.fields import Scope, quoted
 from loglattice.operators.explore import row_key
-from loglattice.plans.durable import scratch_path
+from loglattice.sources.logs import with_partition_column
 from loglattice.view import LogView
 
 TRIGGER = "5 seconds"
@@ -24,11 +24,21 @@ def stream_logs(spark: SparkSession, path: str, schema, format: str = "parquet",
     return spark.readStream.schema(schema).format(format).options(**options).load(path)
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, by: str | None = None, trigger: dict | None = None, format: str = "parquet"):
-    """Append a stream to a table folder, every five seconds unless told otherwise."""
-    writer = stream.writeStream.format(format).outputMode("append").option("checkpointLocation", checkpoint)
-    if by:
-        writer = writer.partitionBy(by)
+def ingest(
+    stream: DataFrame, path: str, checkpoint: str, view: LogView | None = None, by: str = "day", trigger: dict | None = None,
+    format: str = "parquet", partition_name: str = "event_date",
+):
+    """Append a stream to a table folder, every five seconds unless told otherwise.
+
+    With a ``view`` the table is partitioned by the timestamp's day or hour, as ``write_logs`` does, so that
+    it prunes like any other.  Each file appears once, also after a restart.
+    """
+    rows = stream
+    if view is not None:
+        rows = with_partition_column(stream, view, by, partition_name)
+    writer = rows.writeStream.format(format).outputMode("append").option("checkpointLocation", checkpoint)
+    if view is not None:
+        writer = writer.partitionBy(partition_name)
     return writer.trigger(**(trigger or {"processingTime": TRIGGER})).start(path)
 
 
@@ -87,21 +97,11 @@ def rank_windows(counts: DataFrame, limit: int = 10) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def _drop_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop repeats of a key within the watermark, in two steps.
-
-    The first step works per (key, input task), so copies of one very frequent key are thinned out
-    in many tasks before the second step brings what is left of the key together.
-    """
-    thinned = rows.withColumn("__task", F.spark_partition_id()).dropDuplicatesWithinWatermark([*keys, "__task"])
-    return thinned.drop("__task").dropDuplicatesWithinWatermark(keys)
-
-
 def stream_dedupe(stream: DataFrame, view: LogView, late: str = "10 minutes") -> DataFrame:
     """Drop repeats of a content key that arrive within the watermark."""
     rows = event_time(stream, view)
     keyed = rows.withColumn("row_key", row_key(rows, view)).withWatermark(view.timestamp, late)
-    return _drop_repeats(keyed, ["row_key"])
+    return keyed.dropDuplicatesWithinWatermark(["row_key"])
 
 
 def stream_correlate(
@@ -118,7 +118,7 @@ def stream_correlate(
     watermarks have passed.
     """
     left = spans.withWatermark(start, late)
-    right = _drop_repeats(qlog.withWatermark(logged, late), ["trace_id", "span_id"])
+    right = qlog.withWatermark(logged, late).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
     near = (
         (F.col("trace_id") == F.col("root_id"))
         & (F.col("span_id") == F.col("id"))
@@ -126,37 +126,3 @@ def stream_correlate(
         & (quoted(logged) <= quoted(start) + F.expr(f"interval {late}"))
     )
     return left.join(right, near, "leftOuter")
-
-
-# --- running a stream to its present end --------------------------------------------------------
-
-def drain_append(stream: DataFrame, label: str) -> DataFrame:
-    """Run an append-mode stream over what is there now and read the result back as a table."""
-    spark = stream.sparkSession
-    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", state).trigger(availableNow=True).start(out)
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
-def drain_updates(stream: DataFrame, keys: list[str], value: str, label: str) -> DataFrame:
-    """Run an update-mode aggregate over what is there now and read back the last value of each key.
-
-    Every micro-batch is written under its own batch number, so a batch run again overwrites itself.
-    """
-    spark = stream.sparkSession
-    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    query = (
-        stream.writeStream.foreachBatch(save).outputMode("update")
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    log = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
-    return log.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))

@@ -5,8 +5,9 @@ import pytest
 from loglattice import LogView, P, filter_logs
 from loglattice.operators.rules import tag_matches
 from loglattice.operators.volume import volume
+from loglattice.catalog.streams import drain_append, drain_updates
 from loglattice.streaming.streams import (
-    drain_append, drain_updates, ingest, rank_windows, stream_correlate, stream_dedupe, stream_logs, stream_top_values, stream_volume,
+    ingest, rank_windows, stream_correlate, stream_dedupe, stream_logs, stream_top_values, stream_volume,
 )
 
 T0 = dt.datetime(2024, 1, 1)
