@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm import fingerprints, hilbert_ann, html_extract, packing, quality, sentencepiece_bpe, simhash_trie, substring_fm, suffix_dedup, url_trust
 from loglattice.llm.common import table
+from loglattice.llm.sql import substring_sql, url_sql
 
 
 def tokenizer_file(name: str) -> str:
@@ -73,4 +74,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_url_filters": url_sql(RULES),
+    "op9_substring_dedup": substring_sql(),
+}
