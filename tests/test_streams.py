@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from loglattice import LogView, P, filter_logs
@@ -60,6 +62,17 @@ def test_ingest_writes_everything_once(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_ingest_partitions_by_day(spark, tmp_path):
+    s = files(spark, tmp_path / "in", BATCHES)
+    ingest(s, str(tmp_path / "out"), str(tmp_path / "ck"), VIEW, trigger={"availableNow": True}).awaitTermination()
+    df = spark.read.parquet(str(tmp_path / "out"))
+    view = VIEW.with_(partition_col="event_date", partition_by="day")
+    got = filter_logs(df, view, P.time_range(T0, at(3600)))
+    assert "PartitionFilters: [isnotnull(event_date" in got._jdf.queryExecution().executedPlan().toString()
+    given = spark.createDataFrame([r for b in BATCHES for r in b], SCHEMA)
+    assert df.count() == given.count() and got.count() == given.filter(F.col("ts").between(T0, at(3600))).count()
+
+
 def test_top_values(spark, tmp_path):
     counts = stream_top_values(files(spark, tmp_path, BATCHES), VIEW, "sev", "2 minutes", "1 minute")
     got = drain_updates(counts, ["window_start", "window_end", "value"], "count", "t")

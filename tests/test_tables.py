@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loglattice import LogView, P, filter_logs
 from loglattice.operators.explore import detail
-from loglattice.sources.logs import apply_retention, expired_partitions, read_logs, run_sql, write_logs
+from loglattice.sources.logs import apply_retention, drop_expired, expired_partitions, read_logs, run_sql, write_logs
 
 T0 = dt.datetime(2024, 1, 1)
 VIEW = LogView(timestamp="ts", service="svc", row_id=("id",))
@@ -105,3 +105,15 @@ def test_catalog_tables_and_other_formats(spark, logs, tmp_path):
     assert read_logs(spark, "some_logs").count() == 3
     logs.filter("id < 3").write.json(str(tmp_path / "j"))
     assert read_logs(spark, str(tmp_path / "j"), format="json", schema=logs.schema).count() == 3
+
+
+def test_expired_partitions_are_dropped_whole(spark, logs, tmp_path):
+    path = str(tmp_path / "t")
+    view = write_logs(logs, path, VIEW)
+    days = sorted(x for x in os.listdir(path) if x.startswith("event_date="))
+    gone = drop_expired(spark, path, view, T0 + dt.timedelta(days=8, hours=5), days=5)
+    assert [f"event_date={d}" for d in gone] == [d for d in days if d < "event_date=2024-01-04"]
+    assert sorted(x for x in os.listdir(path) if x.startswith("event_date=")) == [d for d in days if d >= "event_date=2024-01-04"]
+    left = read_logs(spark, path)
+    assert left.count() == logs.filter("ts >= '2024-01-04'").count()
+    assert drop_expired(spark, path, view, T0 + dt.timedelta(days=8, hours=5), days=5) == []
