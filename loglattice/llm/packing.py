@@ -192,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
     return assign(written(cut, "packing-pieces"), window)
 
 
-def pack_sequences(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard_pieces: int = 10_000) -> DataFrame:
+def pack_sequences(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard_pieces: int = 3_000) -> DataFrame:
     """One row per sequence: sequence_id, ids (array of ints, without padding), doc_ids, lengths, padding.
 
     A sequence is padded to ``window``, unless its length is a power of two.  Pieces travel once, with
