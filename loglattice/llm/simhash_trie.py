@@ -219,7 +219,7 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _join_segment(ids: np.ndarray, sig: np.ndarray, piece: np.ndarray, plan: Plan, block: int):
-    """Links of one table and block: (a, b) that span the sure components, and pairs to look at."""
+    """Links of one table and block that span the sure components, and links that span the likely ones."""
     offset, size = plan.blocks[block]
     bits = np.uint64(plan.bits)
     mask = np.uint64((1 << plan.bits) - 1)
@@ -229,7 +229,7 @@ def _join_segment(ids: np.ndarray, sig: np.ndarray, piece: np.ndarray, plan: Pla
     values, start = np.unique(turned, return_index=True)
     start = np.append(start, len(turned))
     label = np.arange(len(ids))
-    looked: list[np.ndarray] = []
+    likely = np.arange(len(ids))
     for i, j in Tries(values, plan.bits, size).self_join(plan.radius):
         for a, b in _rows_of(i, j, start):
             if not len(a):
@@ -237,16 +237,12 @@ def _join_segment(ids: np.ndarray, sig: np.ndarray, piece: np.ndarray, plan: Pla
             far = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1)
             sure = far <= plan.sure
             label = _union(label, a[sure], b[sure])
-            perhaps = (far > plan.sure) & (far <= plan.maybe)
-            if perhaps.any():
-                looked.append(np.stack([a[perhaps], b[perhaps]], axis=1))
-    linked = np.flatnonzero(label != np.arange(len(ids)))
-    sure = np.stack([ids[linked], ids[label[linked]]], axis=1) if len(linked) else np.empty((0, 2), np.int64)
-    if not looked:
-        return sure, np.empty((0, 2), np.int64)
-    pairs = np.concatenate(looked)
-    pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]  # already in one component otherwise
-    return sure, np.stack([ids[pairs[:, 0]], ids[pairs[:, 1]]], axis=1)
+            likely = _union(likely, a[far <= plan.maybe], b[far <= plan.maybe])
+    out = []
+    for found in (label, likely):
+        linked = np.flatnonzero(found != np.arange(len(ids)))
+        out.append(np.stack([ids[linked], ids[found[linked]]], axis=1) if len(linked) else np.empty((0, 2), np.int64))
+    return tuple(out)
 
 
 def _cells(rows: DataFrame, size: int) -> DataFrame:
@@ -268,7 +264,7 @@ def _cells(rows: DataFrame, size: int) -> DataFrame:
 
 
 def near_links(sigs: DataFrame, plan: Plan, cell: int = CELL) -> DataFrame:
-    """(a, b, sure) of ids: links that span what is near, and pairs that are near perhaps.
+    """(a, b, sure) of ids: links that span what is surely near, and links that span what is likely near.
 
     ``sigs`` is a table of distinct ids with (id, sig, pieces); it is read twice.
     """
@@ -342,25 +338,72 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return shipped(docs).select("doc_id", distinct(F.col("text")).alias("set"))
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, plan: Plan = SIMILAR) -> DataFrame:
-    """(a, b): links whose components are those of all pairs found with the similarity of shingle sets.
+#: Texts of a group that are compared in one task; of a larger group, two parts of half the size.
+COMPARED = 400
 
-    ``docs`` has distinct doc_ids and texts without nulls.
+
+def _compare(rows: DataFrame, similarity: float, plan: Plan) -> DataFrame:
+    """(a, b): spanning links of pairs with the similarity, in each cell of rows (root, cell, id, known, sig, set).
+
+    All pairs of a cell whose signatures do not rule it out and that are in different components of what is
+    known are compared by their sets; no pair leaves the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        root, cells, ids, known = (t.column(c).to_numpy() for c in ("root", "cell", "id", "known"))
+        sig = np.array(t.column("sig").to_pylist(), dtype=np.int64).view(np.uint64).reshape(len(ids), plan.words)
+        flat = t.column("set").combine_chunks()
+        values, at = flat.values.to_numpy(), flat.offsets.to_numpy()
+        order = np.lexsort((cells, root))
+        edge = np.flatnonzero(np.append(True, (np.diff(root[order]) != 0) | (np.diff(cells[order]) != 0)))
+        links: list[tuple[int, int]] = []
+        for lo, hi in zip(edge, np.append(edge[1:], len(order))):
+            own = order[lo:hi]
+            _, first, label = np.unique(known[own], return_index=True, return_inverse=True)
+            label = first[label]
+            for i in range(len(own)):
+                later = np.arange(i + 1, len(own))
+                far = np.bitwise_count(sig[own[later]] ^ sig[own[i]]).sum(axis=1)
+                for j in later[far <= plan.maybe].tolist():
+                    if label[i] == label[j]:
+                        continue
+                    x, y = (values[at[own[k]] : at[own[k] + 1]] for k in (i, j))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= similarity * (len(x) + len(y) - both):
+                        links.append((int(ids[own[i]]), int(ids[own[j]])))
+                        label[label == label[j]] = label[i]
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+    parts = rows.select("root", "cell", "id", "known", "sig", "set").repartition("root", "cell")
+    return shipped(parts).mapInArrow(run, "a long, b long")
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, plan: Plan = SIMILAR, compared: int = COMPARED) -> DataFrame:
+    """(a, b): links whose components are those of all pairs with the similarity of shingle sets.
+
+    ``docs`` has distinct doc_ids and texts without nulls.  The tries give links that are sure and links
+    that are likely; the components of the latter hold all that can be similar.  In each of them, cut into
+    cells where it is large, pairs that are not connected already are compared by their shingles.
     """
     sigs = written(signatures(docs, shingle, plan).withColumnRenamed("doc_id", "id"), "simhash")
     found = written(near_links(sigs, plan).distinct(), "simhash-links")
     sure = found.where("sure").select("a", "b")
-    perhaps = found.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    settled = components(sure, "a", "b")
-    side = lambda c: settled.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    left = perhaps.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    left = written(left.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b"), "simhash-perhaps")
-    wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(_shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle), "simhash-sets")
-    compared = left.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    compared = compared.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return sure.union(compared.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    settled = components(sure, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("known"))
+    loose = components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("root"))
+    sizes = loose.groupBy("root").agg(F.count("*").alias("n"))
+    sets = _shingle_sets(docs.join(loose.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), shingle)
+    rows = loose.join(sizes, "root").join(settled, "id", "left").join(sigs.select("id", "sig"), "id")
+    rows = rows.join(sets.withColumnRenamed("doc_id", "id"), "id").withColumn("known", F.coalesce("known", "id"))
+    s = F.when(F.col("n") <= compared, 1).otherwise(F.ceil(F.col("n") * 2 / compared)).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("s")).cast("int")
+    cells = rows.withColumn("s", s).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    cells = cells.withColumn("cell", F.least(part, F.col("o")) * F.col("s") + F.greatest(part, F.col("o")))
+    return sure.union(_compare(cells, similarity, plan))
 
 
 def keep_one_of_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
