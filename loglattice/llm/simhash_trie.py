@@ -105,12 +105,16 @@ class Plan:
         return out
 
 
-def signatures(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
-    """(doc_id, sig, pieces) of every whole text of ``docs`` (doc_id, text), as arrays of longs."""
+def signatures(docs: DataFrame, shingle: int, plan: Plan, distinct: bool = False) -> DataFrame:
+    """(doc_id, sig, pieces) of every whole text of ``docs`` (doc_id, text), as arrays of longs.
+
+    Every shingle votes as often as it occurs, or once where ``distinct``.
+    """
+    voters = np.unique if distinct else np.asarray
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sig = np.stack([vote_words(shingle_hashes(t, shingle), plan.words) for t in b["text"]]) if len(b) else np.empty((0, plan.words), np.uint64)
+            sig = np.stack([vote_words(voters(shingle_hashes(t, shingle)), plan.words) for t in b["text"]]) if len(b) else np.empty((0, plan.words), np.uint64)
             rows = {"doc_id": b["doc_id"].astype("Int64"), "sig": list(sig.view(np.int64)), "pieces": list(plan.pieces(sig).view(np.int64))}
             yield pd.DataFrame(rows)
 
@@ -383,16 +387,28 @@ def _compare(rows: DataFrame, similarity: float, plan: Plan) -> DataFrame:
     return shipped(parts).mapInArrow(run, "a long, b long")
 
 
+def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of the ``pairs`` (a, b) of doc_ids whose shingle sets have the similarity."""
+    pairs = written(pairs, "simhash-pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = written(_shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle), "simhash-sets")
+    of_a, of_b = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    enough = both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)
+    return written(pairs.join(of_a, "a").join(of_b, "b").where(enough).select("a", "b"), "simhash-similar")
+
+
 def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, plan: Plan = SIMILAR, compared: int = COMPARED) -> DataFrame:
     """(a, b): links whose components are those of all pairs with the similarity of shingle sets.
 
     ``docs`` has distinct doc_ids and texts without nulls.  The tries give links that are sure and links
-    that are likely; the components of the latter hold all that can be similar.  In each of them, cut into
-    cells where it is large, pairs that are not connected already are compared by their shingles.
+    that are likely; the components of the latter hold all that can be similar.  A sure link counts once its
+    sets are compared.  In each of the components, cut into cells where it is large, pairs that are not
+    connected already are compared by their shingles.
     """
-    sigs = written(signatures(docs, shingle, plan).withColumnRenamed("doc_id", "id"), "simhash")
+    sigs = written(signatures(docs, shingle, plan, distinct=True).withColumnRenamed("doc_id", "id"), "simhash")
     found = written(near_links(sigs, plan).distinct(), "simhash-links")
-    sure = found.where("sure").select("a", "b")
+    sure = _similar(found.where("sure").select("a", "b"), docs, similarity, shingle)
     settled = components(sure, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("known"))
     loose = components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("root"))
     sizes = loose.groupBy("root").agg(F.count("*").alias("n"))

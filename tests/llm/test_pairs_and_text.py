@@ -180,6 +180,16 @@ def test_similar_texts_leave_one(spark, docs, empty):
     assert simhash_trie.keep_one_of_similar(empty).columns == empty.columns
 
 
+def test_a_repeated_passage_makes_no_text_similar(spark):
+    """Shared passages of a few shingles, repeated many times, outvote what the texts do not share."""
+    cycle = ("p1 p2 p3 p4 p5 " * 100).strip()
+    own = lambda n: " ".join(f"t{n}w{i}" for i in range(150))
+    base = " ".join(f"b{i}" for i in range(204))
+    rows = [*((n, f"{own(n)} {cycle}") for n in range(4)), (10, base), (11, f"{base} {cycle}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash_trie.keep_one_of_similar(table).collect()) == [0, 1, 2, 3, 10]
+
+
 def _suffix_truth(texts, window):
     seen, out = set(), {}
     for d, t in texts:
