@@ -13,6 +13,7 @@ the links into components.  A block that too many signatures share is cut into c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loglattice.llm.common import shipped, whole
 from loglattice.llm.components import components
@@ -309,8 +311,8 @@ def near_links(sigs: DataFrame, plan: Plan, cell: int = CELL) -> DataFrame:
 
 #: 64 bits, linked at 3 or fewer differing ones.
 EXACT = Plan()
-#: 256 bits of 5-word shingles; 24 pieces of 32 bits find nearly all pairs of similarity 0.8, which differ in about
-#: 39 bits.  Up to 22 bits a pair is surely similar, up to 54 it may be and the shingles are compared.
+#: 256 bits of 5-word shingles; 24 pieces of 32 bits find most pairs of similarity 0.8, which differ in about 39 bits,
+#: and fewer of very short texts.  Up to 22 bits a pair is probably similar, up to 54 it may be.
 SIMILAR = Plan(words=4, bits=32, tables=24, radius=2, sure=22, maybe=54)
 
 
@@ -398,13 +400,108 @@ def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int)
     return written(pairs.join(of_a, "a").join(of_b, "b").where(enough).select("a", "b"), "simhash-similar")
 
 
+#: Texts whose shingles are counted, to put common shingles last, and how many of them make one common.
+COUNTED, COMMON = 5_000, 10
+#: Bits of a sketch of a set: the parity of the number of its shingles in each of as many buckets.
+PARITY = 256
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles common in a sample of texts, and their counts.
+
+    They only set the order of shingles: with any order no pair is lost.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["text"]:
+                yield pd.DataFrame({"h": np.unique(shingle_hashes(t, shingle)).view(np.int64)})
+
+    every = F.lit(max(1, docs.count() // COUNTED))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), every) == 0).select("text")
+    counts = shipped(some).mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "h").limit(50_000).collect()
+    hashes = np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["n"] for r in found], dtype=np.int64)[order]
+
+
+def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(id, size, sketch, prefix) of the shingle set of each text.
+
+    In one order of all shingles, rare ones first, two sets with the similarity share a shingle of their
+    prefixes: were the first size - similarity * size + 1 of one all missing in the other, too few would be left.
+    """
+    hashes, counts = _common(docs, shingle)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sizes, sketches, prefixes = [], [], []
+            for t in b["text"]:
+                own = np.unique(shingle_hashes(t, shingle))
+                seen = np.zeros(len(own), dtype=np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    seen = np.where(hashes[at] == own, counts[at], 0)
+                first = np.lexsort((own, seen))[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+                odd = (np.bincount((own % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+                sizes.append(len(own))
+                sketches.append(np.packbits(odd).view(np.int64))
+                prefixes.append(own[first].view(np.int64))
+            yield pd.DataFrame({"id": b["doc_id"], "size": np.array(sizes, dtype=np.int32), "sketch": sketches, "prefix": prefixes})
+
+    return shipped(docs).select("doc_id", "text").mapInPandas(run, "id long, size int, sketch array<long>, prefix array<long>")
+
+
+#: Rows of a shared shingle that are compared with all later rows of it in the first round; eight times as many in each further one.
+PIVOTS = 4
+
+
+def _exact_links(docs: DataFrame, links: DataFrame, similarity: float, shingle: int, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b): ``links`` and further ones, so that every pair with the similarity is connected.
+
+    The rows of a shingle that prefixes share have a fixed order.  A round compares the next few rows of
+    each shingle with all later ones, unless the pair is connected already, the sizes or the sketches rule
+    the similarity out (sets differ in at least as many shingles as sketches in bits).  Rounds end when
+    all rows of all shingles with more than one component have had their turn.
+    """
+    sets = written(_prefixes(docs, similarity, shingle), "simhash-prefixes")
+    by_shingle = Window.partitionBy("h")
+    rows = sets.select("id", F.explode("prefix").alias("h")).withColumn("n", F.count("*").over(by_shingle))
+    rows = rows.withColumn("r", F.row_number().over(by_shingle.orderBy(F.xxhash64("id", F.lit(9)), "id"))).where("n > 1").select("h", "r", "id")
+    rows = written(rows.join(sets.drop("prefix"), "id"), "simhash-met")
+    low, high = 0, pivots
+    while True:
+        known = components(links, "a", "b").select(F.col("node").alias("id"), "component")
+        live = rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = live.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("r").alias("n"))
+        mixed = mixed.where((F.col("x") != F.col("y")) & (F.col("n") > low + 1)).select("h")
+        live = written(live.join(mixed, "h", "left_semi"), "simhash-live")
+        last = live.agg(F.max("r")).first()[0]
+        if last is None:
+            return links
+        p = live.where((F.col("r") > low) & (F.col("r") <= high)).select("h", *[F.col(c).alias(f"p_{c}") for c in ("r", "id", "size", "sketch", "component")])
+        apart = sum((F.bit_count(F.col("sketch")[w].bitwiseXOR(F.col("p_sketch")[w])) for w in range(PARITY // 64)), F.lit(0))
+        total = F.col("size") + F.col("p_size")
+        may = (
+            (live["h"] == p["h"]) & (F.col("r") > F.col("p_r")) & (F.col("component") != F.col("p_component"))
+            & (F.least("size", "p_size") >= F.lit(similarity) * F.greatest("size", "p_size") - 1e-9)
+            & (apart <= total * F.lit((1 - similarity) / (1 + similarity)) + 1e-9)
+        )
+        pairs = live.join(p, may).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+        links = written(links.union(_similar(pairs, docs, similarity, shingle)), "simhash-links")
+        if last <= high + 1:
+            return links
+        low, high = high, high * 8
+
+
 def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, plan: Plan = SIMILAR, compared: int = COMPARED) -> DataFrame:
     """(a, b): links whose components are those of all pairs with the similarity of shingle sets.
 
     ``docs`` has distinct doc_ids and texts without nulls.  The tries give links that are sure and links
-    that are likely; the components of the latter hold all that can be similar.  A sure link counts once its
-    sets are compared.  In each of the components, cut into cells where it is large, pairs that are not
-    connected already are compared by their shingles.
+    that are likely.  A sure link counts once its sets are compared.  In each component of the likely ones,
+    cut into cells where it is large, pairs that are not connected already are compared by their shingles.
+    What the tries do not find, and no bound on signatures finds all, a join by prefixes of the sets adds.
     """
     sigs = written(signatures(docs, shingle, plan, distinct=True).withColumnRenamed("doc_id", "id"), "simhash")
     found = written(near_links(sigs, plan).distinct(), "simhash-links")
@@ -419,7 +516,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, pl
     part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("s")).cast("int")
     cells = rows.withColumn("s", s).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     cells = cells.withColumn("cell", F.least(part, F.col("o")) * F.col("s") + F.greatest(part, F.col("o")))
-    return sure.union(_compare(cells, similarity, plan))
+    found = written(sure.union(_compare(cells, similarity, plan)), "simhash-links")
+    return _exact_links(docs, found, similarity, shingle)
 
 
 def keep_one_of_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

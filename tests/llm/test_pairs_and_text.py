@@ -190,6 +190,20 @@ def test_a_repeated_passage_makes_no_text_similar(spark):
     assert sorted(r["doc_id"] for r in simhash_trie.keep_one_of_similar(table).collect()) == [0, 1, 2, 3, 10]
 
 
+@pytest.mark.parametrize("pivots", [4, 1])
+def test_boundary_pairs_of_any_length_are_found(spark, monkeypatch, pivots):
+    """Planted pairs of similarity 0.80 to 0.86, from 8 words to 500; one word more makes one shingle more."""
+    monkeypatch.setattr(simhash_trie._exact_links, "__defaults__", (pivots,))
+    texts, pairs = [], []
+    for n, (both, more) in enumerate([(4, 1), (6, 1), (12, 3), (40, 10), (180, 40), (400, 100)] * (20 if pivots == 4 else 5)):
+        words = [f"v{n}w{i}" for i in range(both + more + 4)]
+        texts += [(2 * n, " ".join(words[: both + 4])), (2 * n + 1, " ".join(words))]
+        pairs.append(both / (both + more))
+    assert min(pairs) == 0.8
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash_trie.keep_one_of_similar(table).collect()) == list(range(0, 2 * len(pairs), 2))
+
+
 def _suffix_truth(texts, window):
     seen, out = set(), {}
     for d, t in texts:
