@@ -344,51 +344,6 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return shipped(docs).select("doc_id", distinct(F.col("text")).alias("set"))
 
 
-#: Texts of a group that are compared in one task; of a larger group, two parts of half the size.
-COMPARED = 400
-
-
-def _compare(rows: DataFrame, similarity: float, plan: Plan) -> DataFrame:
-    """(a, b): spanning links of pairs with the similarity, in each cell of rows (root, cell, id, known, sig, set).
-
-    All pairs of a cell whose signatures do not rule it out and that are in different components of what is
-    known are compared by their sets; no pair leaves the task.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        root, cells, ids, known = (t.column(c).to_numpy() for c in ("root", "cell", "id", "known"))
-        sig = np.array(t.column("sig").to_pylist(), dtype=np.int64).view(np.uint64).reshape(len(ids), plan.words)
-        flat = t.column("set").combine_chunks()
-        values, at = flat.values.to_numpy(), flat.offsets.to_numpy()
-        order = np.lexsort((cells, root))
-        edge = np.flatnonzero(np.append(True, (np.diff(root[order]) != 0) | (np.diff(cells[order]) != 0)))
-        links: list[tuple[int, int]] = []
-        for lo, hi in zip(edge, np.append(edge[1:], len(order))):
-            own = order[lo:hi]
-            _, first, label = np.unique(known[own], return_index=True, return_inverse=True)
-            label = first[label]
-            for i in range(len(own)):
-                later = np.arange(i + 1, len(own))
-                far = np.bitwise_count(sig[own[later]] ^ sig[own[i]]).sum(axis=1)
-                for j in later[far <= plan.maybe].tolist():
-                    if label[i] == label[j]:
-                        continue
-                    x, y = (values[at[own[k]] : at[own[k] + 1]] for k in (i, j))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both >= similarity * (len(x) + len(y) - both):
-                        links.append((int(ids[own[i]]), int(ids[own[j]])))
-                        label[label == label[j]] = label[i]
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
-
-    parts = rows.select("root", "cell", "id", "known", "sig", "set").repartition("root", "cell")
-    return shipped(parts).mapInArrow(run, "a long, b long")
-
-
 def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Those of the ``pairs`` (a, b) of doc_ids whose shingle sets have the similarity."""
     pairs = written(pairs, "simhash-pairs")
@@ -495,29 +450,16 @@ def _exact_links(docs: DataFrame, links: DataFrame, similarity: float, shingle:
         low, high = high, high * 8
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, plan: Plan = SIMILAR, compared: int = COMPARED) -> DataFrame:
+def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, plan: Plan = SIMILAR) -> DataFrame:
     """(a, b): links whose components are those of all pairs with the similarity of shingle sets.
 
-    ``docs`` has distinct doc_ids and texts without nulls.  The tries give links that are sure and links
-    that are likely.  A sure link counts once its sets are compared.  In each component of the likely ones,
-    cut into cells where it is large, pairs that are not connected already are compared by their shingles.
-    What the tries do not find, and no bound on signatures finds all, a join by prefixes of the sets adds.
+    ``docs`` has distinct doc_ids and texts without nulls.  The tries give links that span what is likely
+    similar; those whose sets are similar count, and so fold most of a group of near copies before a join
+    by prefixes of the sets adds what the tries do not find, as no bound on signatures finds all.
     """
     sigs = written(signatures(docs, shingle, plan, distinct=True).withColumnRenamed("doc_id", "id"), "simhash")
-    found = written(near_links(sigs, plan).distinct(), "simhash-links")
-    sure = _similar(found.where("sure").select("a", "b"), docs, similarity, shingle)
-    settled = components(sure, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("known"))
-    loose = components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("root"))
-    sizes = loose.groupBy("root").agg(F.count("*").alias("n"))
-    sets = _shingle_sets(docs.join(loose.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), shingle)
-    rows = loose.join(sizes, "root").join(settled, "id", "left").join(sigs.select("id", "sig"), "id")
-    rows = rows.join(sets.withColumnRenamed("doc_id", "id"), "id").withColumn("known", F.coalesce("known", "id"))
-    s = F.when(F.col("n") <= compared, 1).otherwise(F.ceil(F.col("n") * 2 / compared)).cast("int")
-    part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("s")).cast("int")
-    cells = rows.withColumn("s", s).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    cells = cells.withColumn("cell", F.least(part, F.col("o")) * F.col("s") + F.greatest(part, F.col("o")))
-    found = written(sure.union(_compare(cells, similarity, plan)), "simhash-links")
-    return _exact_links(docs, found, similarity, shingle)
+    likely = near_links(sigs, plan).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _exact_links(docs, _similar(likely, docs, similarity, shingle), similarity, shingle)
 
 
 def keep_one_of_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

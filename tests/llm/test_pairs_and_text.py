@@ -204,6 +204,23 @@ def test_boundary_pairs_of_any_length_are_found(spark, monkeypatch, pivots):
     assert sorted(r["doc_id"] for r in simhash_trie.keep_one_of_similar(table).collect()) == list(range(0, 2 * len(pairs), 2))
 
 
+def test_pairs_of_a_group_are_not_multiplied(spark, monkeypatch):
+    """A chain of near copies that the tries leave open: the joins make a few rows a text, not a row a pair."""
+    words = [f"c{i}" for i in range(600)]
+    texts = [(n, " ".join(words[n : n + 40])) for n in range(300)]  # 36 shingles; neighbours share 35
+    made = []
+    plain = simhash_trie._similar
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(simhash_trie, "_similar", counted)
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash_trie.keep_one_of_similar(table).collect()] == [0]
+    assert sum(made) < 10 * len(texts) and not hasattr(simhash_trie, "_compare")
+
+
 def _suffix_truth(texts, window):
     seen, out = set(), {}
     for d, t in texts:
