@@ -467,14 +467,18 @@ def keep_one_of_similar(docs: DataFrame, similarity: float = 0.8, shingle: int =
     smallest doc_id.
 
     Equal texts are one from the start, and texts without words are equal.  Rows without doc_id stay.
-    Of repeated rows of a kept doc_id one stays.
+    Of repeated rows one stays.  Different texts under one doc_id are texts of their own; a hash of the
+    row breaks ties.
     """
-    known = docs.where("doc_id is not null")
+    known = docs.where("doc_id is not null").withColumn("__row", F.xxhash64(*docs.columns))
     words = F.array_join(F.filter(F.split(whole("text"), "[ \t\n\r\x0b\f]+"), lambda w: w != ""), " ")
     key = F.unhex(F.sha2(F.translate(words, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
-    firsts = known.groupBy(key.alias("k")).agg(F.min("doc_id").alias("doc_id"))
-    firsts = written(firsts.select("doc_id"), "simhash-texts")
-    one = known.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    links = similar_links(one.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")), similarity, shingle)
-    gone = components(links, "a", "b").where("node <> component").select(F.col("node").alias("doc_id"))
-    return one.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    firsts = known.groupBy(key.alias("k")).agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.*")
+    one = known.join(firsts, ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
+    one = written(one.withColumn("__node", F.monotonically_increasing_id()), "simhash-texts")  # numbers hold from here on
+    links = similar_links(one.select(F.col("__node").alias("doc_id"), whole("text").alias("text")), similarity, shingle)
+    grouped = written(components(links, "a", "b").withColumnRenamed("node", "__node"), "simhash-groups")
+    named = grouped.join(one.select("__node", "doc_id", "__row"), "__node")
+    stay = named.groupBy("component").agg(F.min(F.struct("doc_id", "__row", "__node")).alias("first")).select("first.__node")
+    gone = grouped.select("__node").join(stay, "__node", "left_anti")
+    return one.join(gone, "__node", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))

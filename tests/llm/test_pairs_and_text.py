@@ -221,6 +221,14 @@ def test_pairs_of_a_group_are_not_multiplied(spark, monkeypatch):
     assert sum(made) < 10 * len(texts) and not hasattr(simhash_trie, "_compare")
 
 
+def test_two_texts_under_one_id_are_both_judged(spark):
+    say = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(1, say("a")), (5, say("a")), (5, say("b")), (5, say("c")), (7, say("c") + " more"), (7, say("d"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash_trie.keep_one_of_similar(table).collect()
+    assert sorted(map(tuple, got)) == sorted([rows[0], rows[2], rows[3], rows[5]])
+
+
 def _suffix_truth(texts, window):
     seen, out = set(), {}
     for d, t in texts:
