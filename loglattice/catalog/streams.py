@@ -121,7 +121,7 @@ QUERIES["st_dedupe"] = lambda s, d: _ntz(_dedupe(s, d), "ts")
 SQL["st_dedupe"] = "SELECT DISTINCT event_type, user_id, date_trunc('day', ts) AS ts FROM events"
 
 
-def _correlate(s, d):
+def _all_spans(s, d):
     """Views are spans; the next event of the id sequence is its log row when it is no view itself."""
     e = event_time(arriving(s, d), EVENTS)
     spans = e.filter(F.col("event_type") == "view").select(F.lit("t").alias("root_id"), F.col("event_id").alias("id"), F.col("ts").alias("start_time"))
@@ -131,7 +131,12 @@ def _correlate(s, d):
     )
     joined = stream_correlate(spans, log, late="5 minutes")
     out = drain_append(joined.select("id", "start_time", "event_time", "duration"), "correlate")
-    return _ntz(out.filter(F.col("event_time").isNotNull()), "start_time", "event_time")
+    return _ntz(out, "start_time", "event_time")
+
+
+def _correlate(s, d):
+    """The spans that have a log row."""
+    return _all_spans(s, d).filter(F.col("event_time").isNotNull())
 
 
 QUERIES["st_correlate"] = _correlate
@@ -139,3 +144,13 @@ SQL["st_correlate"] = """
   SELECT a.event_id AS id, a.ts AS start_time, b.ts AS event_time, b.value AS duration
   FROM events a JOIN events b ON b.event_id = a.event_id + 1
   WHERE a.event_type = 'view' AND b.event_type <> 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 5 MINUTE"""
+
+#: Also the spans without a log row, as far as the stream has given them up: behind the final watermark, which is five
+#: minutes behind the earlier of the last span and the last log row, less the five minutes in which a log row may come.
+QUERIES["st_correlate_outer"] = _all_spans
+SQL["st_correlate_outer"] = """
+  WITH w AS (SELECT least(max(ts) FILTER (event_type = 'view'), max(ts) FILTER (event_type <> 'view')) - INTERVAL 10 MINUTE AS closed FROM events)
+  SELECT a.event_id AS id, a.ts AS start_time, b.ts AS event_time, b.value AS duration
+  FROM events a CROSS JOIN w LEFT JOIN events b
+    ON b.event_id = a.event_id + 1 AND b.event_type <> 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 5 MINUTE
+  WHERE a.event_type = 'view' AND (b.event_id IS NOT NULL OR a.ts < w.closed)"""

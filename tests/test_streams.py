@@ -7,6 +7,7 @@ import pytest
 from loglattice import LogView, P, filter_logs
 from loglattice.operators.rules import tag_matches
 from loglattice.operators.volume import volume
+from loglattice.catalog import streams
 from loglattice.catalog.streams import drain_append, drain_updates
 from loglattice.streaming.streams import (
     ingest, rank_windows, stream_correlate, stream_dedupe, stream_logs, stream_top_values, stream_volume,
@@ -109,3 +110,9 @@ def test_event_time_of_ntz_columns(spark, tmp_path):
     assert sum(r["count"] for r in got.collect()) == 6
     with pytest.raises(ValueError):
         stream_volume(s, VIEW, "month")
+
+
+def test_registered_correlation_gives_spans_without_log_rows(spark):
+    got = streams.QUERIES["st_correlate_outer"](spark, "/root/testdata/sf0.001").collect()
+    matched = streams.QUERIES["st_correlate"](spark, "/root/testdata/sf0.001").count()
+    assert sum(r.event_time is not None for r in got) == matched < len(got)
