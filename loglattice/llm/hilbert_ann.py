@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Vectors are projected to a few dimensions, in several random ways; each projection is shifted, put on a
-grid and ordered by its Hilbert curve.  The curve is cut into key ranges of about equal size, which
-Spark deals out.  A query goes to the ranges within a window around its own key; there all vectors are
+grid and ordered by its Hilbert curve; what shares a cell is ordered by finer grids inside it, then by a
+hash of the id.  The curve is cut into key ranges of about equal size, which are counted and which Spark
+deals out.  A query goes to the ranges within a window around its own key; there all vectors are
 measured exactly, and the best of all curves merge.
 
 Equal vectors are one entry with their smallest ids, of which no query can need more than k + 1, so a
@@ -26,6 +27,8 @@ from loglattice.plans.durable import written
 
 #: Vectors of one key range at most; a wider window has more ranges.
 RANGE_ROWS = 20_000
+#: Grids, each inside the cells of the one before, that order what shares a cell.
+LEVELS = 3
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -64,16 +67,24 @@ class Curves:
     bits: int
     borders: list[np.ndarray]
 
-    def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
+    def keys(self, x: np.ndarray, ids: np.ndarray, curve: int) -> np.ndarray:
+        """Byte strings of a total order: the key in the grid, the keys in ever finer grids inside a cell, a hash of the id."""
         y = (x @ self.projections[curve] - self.low[curve]) / self.width[curve]
-        cells = np.clip(y * (1 << self.bits), 0, (1 << self.bits) - 1).astype(np.int64)
-        return hilbert_keys(cells, self.bits)
+        y = np.clip(y, 0, np.nextafter(1.0, 0)) * (1 << self.bits)
+        out = np.empty((len(x), LEVELS + 1), dtype=">u8")
+        for level in range(LEVELS):
+            cells = np.floor(y)
+            out[:, level] = hilbert_keys(cells.astype(np.int64), self.bits)
+            y = (y - cells) * (1 << self.bits)
+        tie = (ids.astype(np.int64).view(np.uint64) + np.uint64(curve)) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, LEVELS] = (tie ^ (tie >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return out.view(f"S{8 * (LEVELS + 1)}")[:, 0]
 
-    def ranges(self, x: np.ndarray, curve: int) -> np.ndarray:
-        return np.searchsorted(self.borders[curve], self.keys(x, curve), side="right")
+    def ranges(self, x: np.ndarray, ids: np.ndarray, curve: int) -> np.ndarray:
+        return np.searchsorted(self.borders[curve], self.keys(x, ids, curve), side="right")
 
 
-def fit_curves(sample: np.ndarray, curves: int, dims: int, bits: int, ranges: int, seed: int = 5) -> Curves:
+def fit_curves(sample: np.ndarray, ids: np.ndarray, curves: int, dims: int, bits: int, ranges: int, seed: int = 5) -> Curves:
     """Random projections; each grid spans eight deviations around the sample, shifted at random."""
     draw = np.random.default_rng(seed)
     size = sample.shape[1]
@@ -84,7 +95,7 @@ def fit_curves(sample: np.ndarray, curves: int, dims: int, bits: int, ranges: in
     low = y.mean(axis=1) - spread * (0.5 + draw.uniform(-0.12, 0.12, (curves, dims)))
     out = Curves(projections, low, spread, bits, [])
     for c in range(curves):
-        keys = np.sort(out.keys(sample, c))
+        keys = np.sort(out.keys(sample, ids, c))
         out.borders.append(keys[(np.arange(1, ranges) * len(keys)) // ranges])
     return out
 
@@ -96,14 +107,23 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(~bad, F.lit(False)) & F.exists(d, lambda x: x != 0)
 
 
+def within_rows(counts: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last range of the window of each range: on each side as many as have ``need`` rows, or all."""
+    ends = np.cumsum(counts)
+    first = np.searchsorted(ends, ends - counts - need, side="right")
+    last = np.searchsorted(ends, ends + need, side="left")
+    return first, np.minimum(last, len(counts) - 1)
+
+
 def nearest(
     vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 40, dims: int = 8, bits: int = 8,
     share: float = 0.011, least: int = 500, sample: int = 20_000,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row whose id ``every`` divides.
 
-    ``vectors`` has vec_id and embedding.  A window reaches ``share`` of all vectors, ``least`` at the
-    least, to both sides of a query's key on each of ``curves`` curves.  The curves and the borders of the
+    ``vectors`` has vec_id and embedding.  A window reaches at least ``share`` of all vectors, or ``least``
+    if more (and a quarter on top), to both sides of a query's key range on each of ``curves`` curves,
+    in counted rows.  The curves and the borders of the
     key ranges are fitted on about ``sample`` vectors, chosen by a hash of the id; every vector is indexed.
     Score is the Euclidean distance in double precision; ties go to the smaller vec_id.  Vectors without
     a direction and rows without id take no part, nor do vectors of another size than the most
@@ -122,35 +142,54 @@ def nearest(
     entries = written(ids.join(asked, "v", "left").select(F.col("ids")[0].alias("id"), "ids", "v", F.coalesce("asked", F.lit(False)).alias("asked")), "ann-entries")
     n = entries.count()
     rate = min(1.0, sample / n)
-    chosen = entries.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("v").limit(2 * sample)
-    fitted = np.array(sorted(r["v"] for r in chosen.collect()), dtype=np.float64)
-    if not len(fitted):
-        fitted = np.array([entries.select("v").head()["v"]], dtype=np.float64)
+    chosen = entries.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("id", "v").limit(2 * sample)
+    drawn = sorted((r["v"], r["id"]) for r in chosen.collect()) or [(r["v"], r["id"]) for r in entries.select("v", "id").head(1)]
     window = min(n, max(least, math.ceil(share * n)))
-    width = min(window, RANGE_ROWS)
-    ranges = max(1, n // max(1, width))
-    reach = math.ceil(window / width)
-    model = fit_curves(fitted, curves, dims, bits, ranges)
-
-    def place(to: int):
+    width = max(1, min(window // 2, RANGE_ROWS))
+    ranges = max(1, n // width)
+    names = np.array([r[1] for r in drawn], dtype=np.int64)
+    model = fit_curves(np.array([r[0] for r in drawn], dtype=np.float64), names, curves, dims, bits, ranges)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b["v"].to_numpy())
+                for c in range(curves):
+                    at, rows_ = np.unique(model.ranges(x, b["id"].to_numpy(), c), return_counts=True)
+                    yield pd.DataFrame({"curve": c, "range": at, "n": rows_})
+
+    counted = shipped(entries).select("id", "v").mapInPandas(count, "curve int, range int, n long").groupBy("curve", "range").agg(F.sum("n").alias("n"))
+    counts = np.zeros((curves, ranges), dtype=np.int64)
+    for r in counted.collect():
+        counts[r["curve"], r["range"]] = r["n"]
+    bound = min(RANGE_ROWS, 2 * width)
+    parts = np.where(counts > bound, -(-counts * 5 // (4 * bound)), 1)  # what is over the bound is dealt by a hash, and all its parts are visited
+    windows = [within_rows(c, math.ceil(1.25 * window)) for c in counts]
+
+    def place(query: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if not len(b):
                     continue
-                x = np.stack(b["v"].to_numpy())
+                x, ids_ = np.stack(b["v"].to_numpy()), b["id"].to_numpy()
                 for c in range(curves):
-                    own = model.ranges(x, c)
-                    for step in range(-to, to + 1):
-                        at = own + step
-                        ok = (at >= 0) & (at < ranges)
-                        if ok.any():
-                            yield pd.DataFrame({"curve": c, "range": at[ok], "id": b["id"].to_numpy()[ok], "v": list(x[ok])})
+                    own = model.ranges(x, ids_, c)
+                    if not query:
+                        mixed = ids_.astype(np.int64).view(np.uint64) * np.uint64(0x165667B19E3779F9)
+                        part = ((mixed >> np.uint64(32)) % parts[c][own].astype(np.uint64)).astype(np.int32)
+                        yield pd.DataFrame({"curve": c, "range": own, "part": part, "id": ids_, "v": list(x)})
+                        continue
+                    visits = [first + np.flatnonzero(counts[c][first : last + 1]) for first, last in zip(windows[c][0][own], windows[c][1][own])]
+                    row = np.repeat(np.arange(len(x)), [len(v) for v in visits])
+                    at = np.concatenate(visits)
+                    row, at, part = np.repeat(row, parts[c][at]), np.repeat(at, parts[c][at]), np.concatenate([np.arange(m) for m in parts[c][at]])
+                    yield pd.DataFrame({"curve": c, "range": at, "part": part, "id": ids_[row], "v": list(x[row])})
 
         return run
 
-    placed = "curve int, range int, id long, v array<double>"
-    items = shipped(entries).select("id", "v").mapInPandas(place(0), placed)
-    queries = entries.where("asked").select("id", "v").mapInPandas(place(reach), placed)
+    placed = "curve int, range int, part int, id long, v array<double>"
+    items = shipped(entries).select("id", "v").mapInPandas(place(False), placed)
+    queries = entries.where("asked").select("id", "v").mapInPandas(place(True), placed)
 
     def measure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[pd.DataFrame] = []
@@ -166,7 +205,7 @@ def nearest(
                 found.append(pd.DataFrame({"query": query, "id": names[near], "score": score}))
         return pd.concat(found) if found else pd.DataFrame({"query": [], "id": [], "score": []})
 
-    near = items.groupBy("curve", "range").cogroup(queries.groupBy("curve", "range")).applyInPandas(measure, "query long, id long, score double")
+    near = items.groupBy("curve", "range", "part").cogroup(queries.groupBy("curve", "range", "part")).applyInPandas(measure, "query long, id long, score double")
     best = near.groupBy("query", "id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query").orderBy("score", "id")
     best = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)

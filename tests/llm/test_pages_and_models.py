@@ -135,6 +135,27 @@ def test_nearest_with_hot_vectors_and_odd_ones(spark):
     assert hilbert_ann.nearest(table.where("vec_id < 3")).count() == 2
 
 
+def test_a_tight_cluster_is_cut_into_ranges(spark, monkeypatch):
+    """A third of the vectors are nearly equal, some lie beside them: no range holds them all, near ones are found."""
+    draw = np.random.default_rng(3)
+    x = draw.standard_normal((3000, 16))
+    x[::3] = x[0] + 1e-5 * draw.standard_normal((1000, 16))
+    x[100::300] = x[0] + 1e-2 * draw.standard_normal((10, 16))
+    sizes = []
+    plain = hilbert_ann.within_rows
+    monkeypatch.setattr(hilbert_ann, "within_rows", lambda counts, need: sizes.append(counts.max()) or plain(counts, need))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in hilbert_ann.nearest(table, k=5, every=50, curves=12, least=100).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 50):
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(found[q] & set(np.argsort(far)[:5].tolist()))
+    assert len(found) == 60 and len(sizes) == 12 and max(sizes) <= 200 and hits >= 0.8 * 300
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)])
     order = cells[np.argsort(hilbert_ann.hilbert_keys(cells, 3))]
