@@ -424,14 +424,15 @@ def _exact_links(docs: DataFrame, links: DataFrame, similarity: float, shingle:
     by_shingle = Window.partitionBy("h")
     rows = sets.select("id", F.explode("prefix").alias("h")).withColumn("n", F.count("*").over(by_shingle))
     rows = rows.withColumn("r", F.row_number().over(by_shingle.orderBy(F.xxhash64("id", F.lit(9)), "id"))).where("n > 1").select("h", "r", "id")
-    rows = written(rows.join(sets.drop("prefix"), "id"), "simhash-met")
+    rows = written(rows, "simhash-met")
     low, high = 0, pivots
     while True:
         known = components(links, "a", "b").select(F.col("node").alias("id"), "component")
         live = rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = live.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("r").alias("n"))
         mixed = mixed.where((F.col("x") != F.col("y")) & (F.col("n") > low + 1)).select("h")
-        live = written(live.join(mixed, "h", "left_semi"), "simhash-live")
+        live = live.join(mixed, "h", "left_semi").join(sets.drop("prefix"), "id")
+        live = written(live.select("h", "r", "id", "component", "size", "sketch"), "simhash-live")
         last = live.agg(F.max("r")).first()[0]
         if last is None:
             return links
@@ -458,7 +459,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, pl
     by prefixes of the sets adds what the tries do not find, as no bound on signatures finds all.
     """
     sigs = written(signatures(docs, shingle, plan, distinct=True).withColumnRenamed("doc_id", "id"), "simhash")
-    likely = near_links(sigs, plan).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = near_links(sigs, plan).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (~F.col("sure")).alias("open"))
+    likely = found.groupBy("b").agg(F.min(F.struct("open", "a"))["a"].alias("a")).select("a", "b")  # one a text, as the join finds all
     return _exact_links(docs, _similar(likely, docs, similarity, shingle), similarity, shingle)
 
 
