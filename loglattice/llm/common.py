@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +38,16 @@ def whole(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def row_digest(role: Column, text: Column) -> Column:
+    """16 bytes that stand for a role and a text."""
+    return F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text)))
+
+
+def table_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def successors(keys: DataFrame, key: str, out: str, depth: int = 2) -> DataFrame:
     """For each distinct long ``key`` the next larger one (null for the largest).
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import fingerprints, hilbert_ann, html_extract, packing, quality, sentencepiece_bpe, simhash_trie, substring_fm, suffix_dedup, url_trust
+from loglattice.llm import (
+    chat_tree, conversation_repair, fingerprints, hilbert_ann, html_extract, importance, packing, quality, sentencepiece_bpe, simhash_trie, substring_fm,
+    suffix_dedup, url_trust,
+)
 from loglattice.llm.common import table
-from loglattice.llm.sql import substring_sql, url_sql
+from loglattice.llm.sql import chat_sql, substring_sql, url_sql
 
 
 def tokenizer_file(name: str) -> str:
@@ -62,6 +65,25 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+#: a conversation whose texts hold the template's own marks
+MARKS = r"\### Assistant: </turn> ok"
+
+
+def op11_chat(spark: SparkSession, sf: str) -> DataFrame:
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", MARKS), (-7, 1, "assistant", MARKS)], given.schema)
+    return chat_tree.format_digests(given.unionByName(more))
+
+
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = conversation_repair.normal(table(spark, sf, "conversations"))
+    return conversation_repair.repair_digests(conversation_repair.damaged(rows))
+
+
+def op13_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_sentencepiece": op2_sentencepiece,
@@ -73,8 +95,12 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_chat": op11_chat,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_importance": op13_importance,
 }
 SQL: dict[str, str] = {
     "op6_url_filters": url_sql(RULES),
     "op9_substring_dedup": substring_sql(),
+    "op11_chat": chat_sql(MARKS),
 }

@@ -53,3 +53,18 @@ def url_sql(rules, ratio: float = 2.0, damping: float = 0.85, rounds: int = 12)
            FROM r{rounds}, sums GROUP BY host)
   SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN d > t * {ratio} THEN 'block' ELSE 'allow' END) AS verdict
   FROM p LEFT JOIN fits USING (host, path) LEFT JOIN held USING (host)"""
+
+
+def chat_sql(marks: str) -> str:
+    """Digests of the turns as given, and the lengths that the marks and escape signs add to them."""
+    signs = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
+    control = r"\\|###|</turn>"
+    return rf"""
+  WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+             UNION ALL VALUES (-7, 0, 'user', '{marks}'), (-7, 1, 'assistant', '{marks}'))
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+         CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+         CAST(sum(4 + length(role) + {signs('role', control + '|:')} + 2 + length(text) + {signs('text', control)} + 8) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY conv_id"""
