@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -35,10 +36,11 @@ from loglattice.plans.ordered import BLOCK, into_blocks
 
 BUCKETS = 10_000
 #: bytes of text that share one automaton: bounds what a worker holds, changes no result
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 8_000_000
 #: longer words are known by a stand-in in the automaton, which else holds a node for every byte
 LONG_WORD = 200
 
+_NUMBER = itemgetter(1)
 #: lower-cases A-Z and makes every other ASCII character but a-z and 0-9 a blank
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)
@@ -99,43 +101,44 @@ def joined_crc(left: np.ndarray, right: np.ndarray, right_length: np.ndarray) ->
     return out
 
 
+#: stands between texts that are scanned together; no folded text holds it
+_BREAK = b"!"
+
+
 class Dictionary:
-    """The distinct words of some folded texts as an automaton that emits their numbers."""
+    """The distinct words of a folded text as an automaton that emits their numbers; 0 is the break between texts."""
 
-    def __init__(self, folded: list[bytes]):
-        words: set[bytes] = set()
-        for text in folded:
-            words.update(text.split())
+    def __init__(self, folded: bytes):
+        words = set(folded.split())
+        words.discard(_BREAK)
+        listed = [_BREAK, *words]
         self.long = {w: b"!%d" % i for i, w in enumerate(w for w in words if len(w) > LONG_WORD)}
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        crc, spaced, length = (np.zeros(len(words), np.uint32) for _ in range(3))
-        for number, word in enumerate(words):
-            crc[number] = zlib.crc32(word)
-            spaced[number] = zlib.crc32(b" ", int(crc[number]))
-            length[number] = len(word)
-            known = self.long.get(word, word)
-            self.machine.add_word(f" {known.decode('latin-1')} ", number)
-        if words:
-            self.machine.make_automaton()
-        self.crc, self.spaced, self.length = crc, spaced, length
+        known = [self.long.get(w, w) for w in listed] if self.long else listed
+        for number, word in enumerate(known):
+            self.machine.add_word(f" {word.decode('latin-1')} ", number)
+        self.machine.make_automaton()
+        self.crc = np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed))
+        self.length = np.fromiter(map(len, listed), np.uint32, len(listed))
+        one = np.ones(len(listed), np.uint32)
+        self.spaced = joined_crc(self.crc, zlib.crc32(b" ") * one, one)
 
     def scan(self, folded: bytes) -> np.ndarray:
         """Numbers of the words of a text, in order."""
-        if not len(self.crc):
-            return np.zeros(0, np.int64)
         if self.long:
             folded = b" ".join(self.long.get(w, w) for w in folded.split())
         text = f" {folded.decode('latin-1')} "
-        return np.fromiter((number for _, number in self.machine.iter(text)), np.int64)
-
-    def buckets(self, numbers: np.ndarray, before: int = -1, buckets: int = BUCKETS) -> np.ndarray:
-        """Buckets of the words and of each word with the one before it (``before``: of the piece before)."""
-        if before >= 0:
-            left, right = np.concatenate([[before], numbers[:-1]]), numbers
-        else:
-            left, right = numbers[:-1], numbers[1:]
+        return np.fromiter(map(_NUMBER, self.machine.iter(text)), np.int64)
+
+    def features(self, numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, bucket) of each word and of each two neighbours in one text, texts counted by the breaks."""
+        text = np.cumsum(numbers == 0)
+        word = numbers > 0
+        both = word[1:] & word[:-1]
+        left, right = numbers[:-1][both], numbers[1:][both]
         pairs = joined_crc(self.spaced[left], self.crc[right], self.length[right])
-        return np.concatenate([self.crc[numbers], pairs]).astype(np.int64) % buckets
+        crcs = np.concatenate([self.crc[numbers[word]], pairs])
+        return np.concatenate([text[word], text[1:][both]]), crcs.astype(np.int64) % buckets
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -150,35 +153,31 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _groups(texts: list[bytes | None]) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Folded texts as (place, pieces), in groups of about GROUP_BYTES; a longer text is a group."""
-    group, size = [], 0
+def _groups(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Folded texts in groups of about GROUP_BYTES, with the place of the first; a longer text is a group."""
+    first, group, size = 0, [], 0
     for place, text in enumerate(texts):
         folded = (text or b"").translate(_FOLD)
         if group and size + len(folded) > GROUP_BYTES:
-            yield group
-            group, size = [], 0
-        group.append((place, list(_pieces(folded))))
+            yield first, group
+            first, group, size = place, [], 0
+        group.append(folded)
         size += len(folded)
     if group:
-        yield group
-
-
-def _text_buckets(texts: list[bytes | None], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(place of the text, buckets of some of its features); a long text comes in several parts."""
-    for group in _groups(texts):
-        if len(group) == 1 and len(group[0][1]) > 1:
-            place, pieces = group[0]
-            last = b""
-            for piece in pieces:
-                book = Dictionary([last, piece])
-                numbers = book.scan(piece)
-                yield place, book.buckets(numbers, int(book.scan(last)[0]) if last and len(numbers) else -1, buckets)
-                last = (piece.rsplit(None, 1) or [last])[-1] if len(numbers) else last
-        else:
-            book = Dictionary([p for _, pieces in group for p in pieces])
-            for place, pieces in group:
-                yield place, book.buckets(book.scan(pieces[0]), -1, buckets)
+        yield first, group
+
+
+def _features(texts: list[bytes | None], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of texts, buckets of their features) of a group of texts at a time; a long text comes in several parts."""
+    for first, group in _groups(texts):
+        last = b""
+        for piece in _pieces(group[0]) if len(group) == 1 else [b" ! ".join(group)]:
+            book = Dictionary(last + b" " + piece)
+            text, found = book.features(book.scan(last + b" " + piece), buckets)
+            if last:  # the word before the cut has been counted with its piece
+                text, found = text[1:], found[1:]
+            yield first + text, found
+            last = (piece.rsplit(None, 1) or [last])[-1]
 
 
 def bucket_counts(texts: DataFrame, column: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -187,7 +186,7 @@ def bucket_counts(texts: DataFrame, column: str = "text", buckets: int = BUCKETS
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, found in _text_buckets(batch.column(0).to_pylist(), buckets):
+            for _, found in _features(batch.column(0).to_pylist(), buckets):
                 total += np.bincount(found, minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["bucket", "n"])
@@ -218,9 +217,10 @@ def weigh(docs: DataFrame, table: DataFrame, id_column: str = "doc_id", column:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for place, found in _text_buckets(batch.column(1).to_pylist(), buckets):
-                n[place] += len(found)
-                total[place] += gain[found].sum()
+            for places, found in _features(batch.column(1).to_pylist(), buckets):
+                n += np.bincount(places, minlength=len(n))
+                # sums of whole numbers below 2**53 are exact in doubles
+                total += np.bincount(places, gain[found], minlength=len(n)).astype(np.int64)
             weight = total // np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.int64())], [id_column, "n_features", "weight"]
