@@ -12,6 +12,7 @@ from loglattice.operators import predicates as P
 from loglattice.operators.predicates import filter_logs
 from loglattice.operators.rules import tag_matches
 from loglattice.plans.durable import scratch_path
+from loglattice.sources.live import compact, read_live
 from loglattice.sources.logs import read_logs
 from loglattice.streaming.streams import (
     event_time, ingest, rank_windows, stream_correlate, stream_dedupe, stream_logs, stream_top_values, stream_volume,
@@ -77,6 +78,26 @@ def _ingested(s, d):
 QUERIES["src_stream"] = _ingested
 SQL["src_stream"] = f"SELECT * FROM events WHERE ts >= TIMESTAMP '{FROM}' AND ts <= TIMESTAMP '{TO}'"
 
+
+
+def _compacted(s, d):
+    """Events arriving in small files, ingested at most three files a batch; the table is packed while the ingest goes on."""
+    source, out, state = (scratch_path(s, f"ingest-{x}") for x in ("source", "table", "state"))
+    given = s.read.parquet(f"{d}/events.parquet")
+    view = EVENTS.with_(partition_col="event_date", partition_by="day")
+    for odd in (0, 1):
+        given.filter(F.col("event_id") % 2 == odd).repartition(6).write.mode("append").parquet(source)
+        arrived = stream_logs(s, source, given.schema, batch_files=3)
+        ingest(arrived, out, state, EVENTS, trigger={"availableNow": True}).awaitTermination()
+        if odd == 0:
+            compact(s, out, view)
+    compact(s, out, view)
+    return read_live(s, out).drop("event_date")
+
+
+QUERIES["src_compact"] = _compacted
+SQL["src_compact"] = "SELECT * FROM events"
+
 QUERIES["st_volume"] = lambda s, d: _ntz(
     drain_updates(stream_volume(arriving(s, d), EVENTS, "hour"), ["time", "level"], "count", "volume"), "time"
 )

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loglattice.catalog.common import EVENTS, table
+from loglattice.catalog.common import ATTR_EVENTS, ATTR_EVENTS_SQL, EVENTS, attr_events, table
 from loglattice.operators import predicates as P
 from loglattice.operators.predicates import filter_logs
 from loglattice.operators.traces import logs_of_trace
 from loglattice.operators.volume import volume
 from loglattice.plans.durable import scratch_path
 from loglattice.sources.logs import apply_retention, drop_expired, expired_partitions, read_logs, run_sql, write_logs
+from loglattice.sources.live import compact, expire_rows, read_live, sweep
+from loglattice.sources.tokens import index_tokens, search_logs
 from loglattice.view import LogView
 
 QUERIES: dict = {}
@@ -85,3 +87,41 @@ def _expired(s, d):
 
 QUERIES["sink_expired"] = _expired
 SQL["sink_expired"] = f"SELECT DISTINCT CAST(ts AS DATE) AS event_date FROM events WHERE CAST(ts AS DATE) < CAST(TIMESTAMP '{NOW}' - INTERVAL 30 DAY AS DATE)"
+
+
+def _retained_rows(s, d):
+    """What is left of a table once its expired rows are gone, those of the day of the bound too."""
+    path = scratch_path(s, "logs")
+    view = write_logs(table(s, d, "events"), path, EVENTS, mode="overwrite")
+    expire_rows(s, path, view, NOW)
+    sweep(s, path)
+    return read_live(s, path).drop("event_date")
+
+
+QUERIES["sink_retention_rows"] = _retained_rows
+SQL["sink_retention_rows"] = f"SELECT * FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY"
+
+
+def _searched(*searches, indexed=True):
+    """Messages written in two appends with filters of their words, then searched."""
+
+    def run(s, d):
+        path = scratch_path(s, "logs")
+        rows = attr_events(s, d)
+        noon = F.col("ts") < F.lit("2024-01-16 12:00:00").cast("timestamp_ntz")
+        view = write_logs(rows.filter(noon), path, ATTR_EVENTS, mode="overwrite", tokens=True)
+        write_logs(rows.filter(~noon), path, ATTR_EVENTS, tokens=indexed)
+        return search_logs(s, path, view, *searches).select("event_id", "message")
+
+    return run
+
+
+PHRASE_SQL = f"SELECT event_id, message FROM ({ATTR_EVENTS_SQL}) WHERE regexp_matches(message, '(^|[^a-zA-Z0-9_])req-7($|[^a-zA-Z0-9_])', 'i')"
+QUERIES["sink_tokens_phrase"] = _searched(P.phrase("req-7"))
+SQL["sink_tokens_phrase"] = PHRASE_SQL
+QUERIES["sink_tokens_unindexed"] = _searched(P.phrase("req-7"), indexed=False)
+SQL["sink_tokens_unindexed"] = PHRASE_SQL
+QUERIES["sink_tokens_term"] = _searched((P.term("Q-9") & ~P.phrase("click")) | P.wildcard("error: req-1* took_3%"), P.gt("value", 20))
+SQL["sink_tokens_term"] = f"""SELECT event_id, message FROM ({ATTR_EVENTS_SQL})
+  WHERE ((message ILIKE '%Q-9%' AND NOT regexp_matches(message, '(^|[^a-zA-Z0-9_])click($|[^a-zA-Z0-9_])', 'i'))
+         OR regexp_full_match(message, 'error: req-1.* took_3%')) AND value > 20"""

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from loglattice.functions.coarse import coarse_literal
 from loglattice.functions.fields import Resolved, Scope, UnresolvedField
 from loglattice.functions.literals import as_number, bound_literal, typed_literal
+from loglattice.functions.tokens import Needs, all_needed, any_needed, needed, needed_by_wildcard
 from loglattice.view import LogView
 
 Binder = Callable[[Scope], "Column | None"]
@@ -29,6 +30,8 @@ Binder = Callable[[Scope], "Column | None"]
 class Predicate:
     bind: Binder
     label: str = ""
+    #: words of the body without which no row can match (None: nothing is known)
+    needs: Callable[[Scope], Needs] = lambda scope: None
 
     def __and__(self, other: "Predicate") -> "Predicate":
         return all_of(self, other)
@@ -100,6 +103,10 @@ def _body(scope: Scope) -> Column | None:
     return scope.role("body") if scope.view.body else None
 
 
+def _on_body(scope: Scope, needs: Needs) -> Needs:
+    return needs if scope.view.body else None
+
+
 def term(text: str) -> Predicate:
     """Body contains the text, ignoring case."""
 
@@ -107,7 +114,7 @@ def term(text: str) -> Predicate:
         body = _body(scope)
         return None if body is None else contains_match(body, text)
 
-    return Predicate(bind, text)
+    return Predicate(bind, text, lambda scope: _on_body(scope, needed(text, False, False)))
 
 
 def phrase(text: str, field: str | None = None, on_unresolved: str = "error") -> Predicate:
@@ -118,12 +125,12 @@ def phrase(text: str, field: str | None = None, on_unresolved: str = "error") ->
             body = _body(scope)
             return None if body is None else phrase_match(body, text)
 
-        return Predicate(bind, f'"{text}"')
+        return Predicate(bind, f'"{text}"', lambda scope: _on_body(scope, needed(text, True, True)))
 
     def on_field(r: Resolved) -> Column:
         return phrase_match(r.column, text) if r.kind == "text" else _equals(r, text, True)
 
-    return _on(field, on_field, on_unresolved, f"{field}:{text}")
+    return _on(field, on_field, on_unresolved, f"{field}:{text}", needed(text, True, True))
 
 
 def wildcard(pattern: str, field: str | None = None, on_unresolved: str = "error") -> Predicate:
@@ -135,14 +142,18 @@ def wildcard(pattern: str, field: str | None = None, on_unresolved: str = "error
             body = _body(scope)
             return None if body is None else body.ilike(like)
 
-        return Predicate(bind, pattern)
-    return _on(field, lambda r: r.field.as_string().ilike(like), on_unresolved, f"{field}:{pattern}")
+        return Predicate(bind, pattern, lambda scope: _on_body(scope, needed_by_wildcard(pattern)))
+    on_field = lambda r: r.field.as_string().ilike(like)
+    return _on(field, on_field, on_unresolved, f"{field}:{pattern}", needed_by_wildcard(pattern))
 
 
 # --- fields -------------------------------------------------------------------------------------
 
-def _on(field: str, build: Callable[[Resolved], Column], on_unresolved: str, raw: str) -> Predicate:
-    """Apply ``build`` to a field; a name that is no field is an error or a search of the body."""
+def _on(field: str, build: Callable[[Resolved], Column], on_unresolved: str, raw: str, text_needs: Needs = None) -> Predicate:
+    """Apply ``build`` to a field; a name that is no field is an error or a search of the body.
+
+    ``text_needs`` is what ``build`` asks of the body's words where the field is the body.
+    """
     if on_unresolved not in ("error", "body"):
         raise ValueError("on_unresolved is 'error' or 'body'")
 
@@ -154,7 +165,13 @@ def _on(field: str, build: Callable[[Resolved], Column], on_unresolved: str, raw
             raise UnresolvedField(f"no field {field!r}")
         return (wildcard(raw) if "*" in raw else term(raw)).bind(scope)
 
-    return Predicate(bind, raw)
+    def needs(scope: Scope) -> Needs:
+        hit = scope.resolve(field)
+        if hit is None:
+            return (wildcard(raw) if "*" in raw else term(raw)).needs(scope)
+        return text_needs if hit.kind == "text" else None
+
+    return Predicate(bind, raw, needs)
 
 
 def _equals(r: Resolved, value, quoted: bool) -> Column:
@@ -183,7 +200,8 @@ def eq(field: str, value, quoted: bool = False, on_unresolved: str = "error") ->
             return contains_match(r.column, str(value))
         return _equals(r, value, quoted)
 
-    return _on(field, on_field, on_unresolved, f"{field}:{value}")
+    asks = None if value is None else needed(str(value), False, False)
+    return _on(field, on_field, on_unresolved, f"{field}:{value}", asks)
 
 
 def non_empty(r: Resolved) -> Column:
@@ -319,7 +337,7 @@ def all_of(*preds: Predicate) -> Predicate:
         bound = [c for c in (p.bind(scope) for p in preds) if c is not None]
         return reduce(lambda a, b: a & b, bound) if bound else None
 
-    return Predicate(bind, " and ".join(p.label for p in preds))
+    return Predicate(bind, " and ".join(p.label for p in preds), lambda scope: all_needed([p.needs(scope) for p in preds]))
 
 
 def any_of(*preds: Predicate) -> Predicate:
@@ -329,7 +347,7 @@ def any_of(*preds: Predicate) -> Predicate:
             return F.lit(True) if bound else None
         return reduce(lambda a, b: a | b, bound) if bound else None
 
-    return Predicate(bind, " or ".join(p.label for p in preds))
+    return Predicate(bind, " or ".join(p.label for p in preds), lambda scope: any_needed([p.needs(scope) for p in preds]))
 
 
 def negate(pred: Predicate) -> Predicate:

@@ -59,6 +59,7 @@ def write_logs(
     bloom: Sequence[str] = (),
     bloom_ndv: int = 1_000_000,
     format: str = "parquet",
+    tokens: bool = False,
 ) -> LogView:
     """Write partitioned by a truncation of the timestamp and sorted by (service, time) inside files.
 
@@ -66,7 +67,8 @@ def write_logs(
     data is spread over many tasks and files, each with a narrow service/time range for file
     statistics to skip on, while small days share a task.  The reading task comes last so that even
     rows of one instant can be split.  Columns in ``bloom`` get Parquet bloom filters for
-    equality lookups.  Returns the view that also filters the partition column.
+    equality lookups; with ``tokens`` the new files get filters of the body's words for
+    ``tokens.search_logs``.  Returns the view that also filters the partition column.
     """
     view.require("timestamp")
     parted = with_partition_column(df, view, by, partition_name)
@@ -79,7 +81,12 @@ def write_logs(
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer = writer.option(f"parquet.bloom.filter.expected.ndv#{c}", str(bloom_ndv))
     writer.partitionBy(partition_name).save(path)
-    return view.with_(partition_col=partition_name, partition_by=by)
+    out = view.with_(partition_col=partition_name, partition_by=by)
+    if tokens:
+        from loglattice.sources.tokens import index_tokens
+
+        index_tokens(df.sparkSession, path, out)
+    return out
 
 
 def apply_retention(df: DataFrame, view: LogView, now, days: int = RETENTION_DAYS) -> DataFrame:

@@ -19,8 +19,14 @@ from loglattice.view import LogView
 TRIGGER = "5 seconds"
 
 
-def stream_logs(spark: SparkSession, path: str, schema, format: str = "parquet", **options) -> DataFrame:
-    """Log files arriving in a folder."""
+def stream_logs(
+    spark: SparkSession, path: str, schema, format: str = "parquet", batch_files: int | None = None, batch_bytes: str | None = None, **options
+) -> DataFrame:
+    """Log files arriving in a folder; a batch takes at most ``batch_files`` files, or files of about ``batch_bytes`` ("1g")."""
+    if batch_files is not None:
+        options["maxFilesPerTrigger"] = batch_files
+    if batch_bytes is not None:
+        options["maxBytesPerTrigger"] = batch_bytes
     return spark.readStream.schema(schema).format(format).options(**options).load(path)
 
 
