@@ -14,8 +14,9 @@ from loglattice.operators.rules import tag_matches
 from loglattice.plans.durable import scratch_path
 from loglattice.sources.live import compact, read_live
 from loglattice.sources.logs import read_logs
+from loglattice.streaming.status import STATE_STORE, stream_status
 from loglattice.streaming.streams import (
-    event_time, ingest, rank_windows, stream_correlate, stream_dedupe, stream_logs, stream_top_values, stream_volume,
+    event_time, ingest, rank_stream, rank_windows, read_ranks, stream_correlate, stream_dedupe, stream_logs, stream_top_values, stream_volume,
 )
 
 QUERIES: dict = {}
@@ -41,9 +42,15 @@ def drain_append(stream: DataFrame, label: str) -> DataFrame:
 
 
 def drain_updates(stream: DataFrame, keys: list[str], value: str, label: str) -> DataFrame:
-    """Run an update-mode aggregate over what is there now and read back the last value of each key.
+    """Run an update-mode aggregate over what is there now and read back the last value of each key."""
+    log = drain_all_updates(stream, label)
+    return log.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
 
-    Every micro-batch is written under its own batch number, so a batch run again overwrites itself.
+def drain_all_updates(stream: DataFrame, label: str) -> DataFrame:
+    """Run an update-mode stream over what is there now and read back every row it gave, with its batch.
+
+    Each batch is written under its own number, so a batch run again overwrites itself.
     """
     spark = stream.sparkSession
     out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
@@ -56,8 +63,7 @@ def drain_updates(stream: DataFrame, keys: list[str], value: str, label: str) ->
         .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    log = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
-    return log.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
 
 
 def _ntz(df, *cols):
@@ -132,6 +138,58 @@ SQL["st_topvalues"] = """
   FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY count DESC, value) AS rank FROM c) WHERE rank <= 2"""
 
 
+def _in_pieces(s, d, pieces=6):
+    """Events as files that arrive two a batch."""
+    source = scratch_path(s, "pieces")
+    given = s.read.parquet(f"{d}/events.parquet")
+    given.repartition(pieces, "event_id").write.parquet(source)
+    return stream_logs(s, source, given.schema, batch_files=2)
+
+
+def _ranked(s, d):
+    """Ranks kept while the stream runs."""
+    counts = stream_top_values(_in_pieces(s, d), EVENTS, "event_type", "2 hours", "1 hour", late="60 days")
+    out, state = scratch_path(s, "ranks"), scratch_path(s, "ranks-state")
+    rank_stream(counts, out, state, 2, trigger={"availableNow": True}).awaitTermination()
+    return _ntz(read_ranks(s, out), "window_start", "window_end")
+
+
+QUERIES["st_topvalues_live"] = _ranked
+SQL["st_topvalues_live"] = SQL["st_topvalues"]
+
+
+def _statuses(s, d):
+    """Views are roots, purchases without a tag; the next event of the id sequence is a log row when it is an error or a click."""
+    e = event_time(arriving(s, d), EVENTS)
+    roots = e.filter(F.col("event_type").isin("view", "purchase")).select(
+        F.col("event_id").alias("root_id"), F.col("ts").alias("start_time"), (F.col("event_type") == "view").alias("tagged")
+    )
+    q = event_time(arriving(s, d), EVENTS).filter(F.col("event_type").isin("error", "click"))
+    log = q.select((F.col("event_id") - 1).alias("trace_id"), F.col("ts").alias("event_time"))
+    before = s.conf.get("spark.sql.streaming.stateStore.providerClass")
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        changes = stream_status(roots, log, budget_seconds=300, late="1 minute", tagged=F.col("tagged"))
+        out = drain_all_updates(changes, "status")
+    finally:
+        s.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return out.select("root_id", "status", "n_log_rows", "settled")
+
+
+QUERIES["st_status"] = _statuses
+#: Every root is pending, or ok if its row came in the same batch; behind the final watermark, a minute behind the earlier end
+#: of both streams, it is settled.
+SQL["st_status"] = """
+  WITH r AS (SELECT a.event_id AS root_id, a.event_type = 'view' AS tagged, a.ts, count(b.event_id) AS n FROM events a
+             LEFT JOIN events b ON b.event_id = a.event_id + 1 AND b.event_type IN ('error', 'click')
+             WHERE a.event_type IN ('view', 'purchase') GROUP BY ALL),
+  w AS (SELECT least(max(ts) FILTER (event_type IN ('view', 'purchase')), max(ts) FILTER (event_type IN ('error', 'click'))) - INTERVAL 1 MINUTE AS mark FROM events)
+  SELECT root_id, CASE WHEN tagged THEN CASE WHEN n > 0 THEN 'ok' ELSE 'pending' END ELSE 'not-tagged' END AS status,
+         CASE WHEN tagged THEN n ELSE 0 END AS n_log_rows, NOT tagged AS settled FROM r
+  UNION ALL
+  SELECT root_id, CASE WHEN n > 0 THEN 'ok' ELSE 'no-data' END, n, TRUE FROM r, w WHERE tagged AND ts + INTERVAL 5 MINUTE <= mark"""
+
+
 def _dedupe(s, d):
     """Timestamps cut to six hours, so users repeat content keys."""
     rows = arriving(s, d).withColumn("ts", F.date_trunc("day", "ts"))

@@ -6,6 +6,7 @@ tags need nothing here: ``filter_logs`` and ``tag_matches`` work on streams as t
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from loglattice.functions.buckets import CALENDAR_UNITS, step_seconds
 from loglattice.functions.fields import Scope, quoted
 from loglattice.operators.explore import row_key
+from loglattice.plans.durable import written
 from loglattice.sources.logs import with_partition_column
 from loglattice.view import LogView
 
@@ -103,6 +105,41 @@ def rank_windows(counts: DataFrame, limit: int = 10) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+def _merge_ranks(batch: DataFrame, path: str, limit: int) -> None:
+    """Takes the counts that a batch changed into the counts kept, and ranks the windows of their days anew."""
+    spark = batch.sparkSession
+    batch = written(batch.withColumn("day", F.floor(F.unix_seconds("window_start") / 86400)), "ranks-batch")
+    touched = batch.select("day").distinct()
+    try:
+        kept = spark.read.schema(batch.schema).parquet(f"{path}/counts")
+        batch = batch.unionByName(kept.join(touched, "day", "left_semi"))  # only their folders are read
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # a count only grows while its window is open, so a batch that comes again changes nothing
+    merged = batch.groupBy("day", "window_start", "window_end", "value").agg(F.max("count").alias("count"))
+    merged = written(merged, "ranks-merged")
+    for rows, name in ((rank_windows(merged, limit), "ranks"), (merged, "counts")):
+        writer = rows.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day").parquet(f"{path}/{name}")
+
+
+def rank_stream(counts: DataFrame, path: str, checkpoint: str, limit: int = 10, trigger: dict | None = None):
+    """Keep the top values of each window of :func:`stream_top_values` ranked while the stream runs.
+
+    Every batch rewrites the days that have a window it touches, a folder a day, and no others; read the ranks with
+    :func:`read_ranks`.  The counts kept beside them are absolute, so a batch run again changes nothing.
+    """
+    writer = counts.writeStream.foreachBatch(lambda batch, _: _merge_ranks(batch, path, limit))
+    writer = writer.outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": TRIGGER})).start()
+
+
+def read_ranks(spark: SparkSession, path: str) -> DataFrame:
+    """(window_start, window_end, value, count, rank) as the last batch left them."""
+    return spark.read.parquet(f"{path}/ranks").drop("day")
+
+
 def stream_dedupe(stream: DataFrame, view: LogView, late: str = "10 minutes") -> DataFrame:
     """Drop repeats of a content key that arrive within the watermark."""
     rows = event_time(stream, view)
