@@ -336,6 +336,15 @@ def near_components(docs: DataFrame, shingle: int = 3, plan: Plan = EXACT) -> Da
     )
 
 
+#: Ids that are sent to every executor (16 bytes each there); more of them are joined by a shuffle.
+FEW_IDS = 500_000
+
+
+def _kept(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` with (left_semi) or without (left_anti) the written ``ids``; wide rows move only if the ids are many."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, key, how)
+
+
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     @F.pandas_udf("array<long>")
     def distinct(texts: pd.Series) -> pd.Series:
@@ -344,15 +353,57 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return shipped(docs).select("doc_id", distinct(F.col("text")).alias("set"))
 
 
+#: Bits of the longer sketch that pairs are compared by before their sets are.
+LONG_PARITY = 8192
+
+
+def _parity(own: np.ndarray, bits: int) -> bytes:
+    """The parity of the number of hashes in each of ``bits`` buckets: sets differ in at least as many hashes as these in bits."""
+    return np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    return int.from_bytes(a).__xor__(int.from_bytes(b)).bit_count()
+
+
+def _may_be_similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The ``pairs`` that sizes and long sketches do not rule out."""
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "size": [len(s) for s in sets], "sketch": [_parity(s, LONG_PARITY) for s in sets]})
+
+    @F.pandas_udf("int")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_apart(x, y) for x, y in zip(a, b)], dtype="int32")
+
+    known = written(shipped(docs).select("doc_id", "text").mapInPandas(sketch, "doc_id long, size int, sketch binary"), "simhash-sketches")
+    of_a, of_b = (known.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b"))
+    total = F.col("size_a") + F.col("size_b")
+    fits = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9
+    met = pairs.join(of_a, "a").join(of_b, "b").where(fits)
+    return met.where(apart("sketch_a", "sketch_b") <= total * F.lit((1 - similarity) / (1 + similarity)) + 1e-9).select("a", "b")
+
+
+def _mentioned(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "simhash-ids")
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of the ``pairs`` (a, b) of doc_ids whose shingle sets have the similarity."""
+    """Those of the ``pairs`` (a, b) of doc_ids whose shingle sets have the similarity.
+
+    Sketches of a kilobyte a text go first; sets are made and moved only for the pairs that they leave.
+    """
     pairs = written(pairs, "simhash-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(_shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle), "simhash-sets")
+    some = _kept(docs, _mentioned(pairs), "doc_id", "left_semi")
+    pairs = written(_may_be_similar(pairs, some, similarity, shingle), "simhash-maybe")
+    sets = written(_shingle_sets(_kept(docs, _mentioned(pairs), "doc_id", "left_semi"), shingle), "simhash-sets")
     of_a, of_b = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+    near = of_a.join(F.broadcast(pairs), "a") if pairs.count() <= FEW_IDS else of_a.join(pairs, "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
     enough = both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)
-    return written(pairs.join(of_a, "a").join(of_b, "b").where(enough).select("a", "b"), "simhash-similar")
+    return written(near.join(of_b, "b").where(enough).select("a", "b"), "simhash-similar")
 
 
 #: Texts whose shingles are counted, to put common shingles last, and how many of them make one common.
@@ -473,14 +524,17 @@ def keep_one_of_similar(docs: DataFrame, similarity: float = 0.8, shingle: int =
     row breaks ties.
     """
     known = docs.where("doc_id is not null").withColumn("__row", F.xxhash64(*docs.columns))
+    known = written(known.withColumn("__node", F.monotonically_increasing_id()), "simhash-texts")  # numbers hold from here on
     words = F.array_join(F.filter(F.split(whole("text"), "[ \t\n\r\x0b\f]+"), lambda w: w != ""), " ")
     key = F.unhex(F.sha2(F.translate(words, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
-    firsts = known.groupBy(key.alias("k")).agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.*")
-    one = known.join(firsts, ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
-    one = written(one.withColumn("__node", F.monotonically_increasing_id()), "simhash-texts")  # numbers hold from here on
+    keyed = known.select(key.alias("k"), "doc_id", "__row", "__node")
+    firsts = keyed.groupBy("k").agg(F.min(F.struct("doc_id", "__row", "__node")).alias("first")).select("first.__node")
+    copies = written(keyed.select("__node").join(firsts, "__node", "left_anti"), "simhash-copies")
+    one = _kept(known, copies, "__node", "left_anti")
     links = similar_links(one.select(F.col("__node").alias("doc_id"), whole("text").alias("text")), similarity, shingle)
     grouped = written(components(links, "a", "b").withColumnRenamed("node", "__node"), "simhash-groups")
-    named = grouped.join(one.select("__node", "doc_id", "__row"), "__node")
+    named = grouped.join(known.select("__node", "doc_id", "__row"), "__node")
     stay = named.groupBy("component").agg(F.min(F.struct("doc_id", "__row", "__node")).alias("first")).select("first.__node")
-    gone = grouped.select("__node").join(stay, "__node", "left_anti")
-    return one.join(gone, "__node", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = grouped.select("__node").join(stay, "__node", "left_anti").union(copies)
+    kept = _kept(known, written(gone, "simhash-gone"), "__node", "left_anti")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
