@@ -24,15 +24,18 @@ from pyspark.sql import functions as F
 from loglattice.llm.common import shipped, whole
 from loglattice.llm.html_labelled import labelled_pages
 
+#: Possessive, so that a tag that never ends is given up after one pass over it.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S
 )
 NAMES = re.compile(r"(?:^|\s)(class|id|role|y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
 # Elements by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea select iframe svg math object canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style template title textarea select iframe noframes".split())
+#: Their contents are text, whatever marks it holds.
+LITERAL = frozenset(("xmp", "listing", "plaintext"))
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -94,10 +97,56 @@ class Page:
     blocks: list[list[int]] = field(default_factory=list)
 
 
+class _Open:
+    """The open elements, and for each tag the places where it is open."""
+
+    def __init__(self):
+        self.nodes = [0]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def innermost(self, tags: frozenset[str]) -> int:
+        """Place of the innermost open element of the tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
+_CELL = frozenset(("td", "th", "table"))
+_IN_TABLES = frozenset(("td", "th", "tr", "table", "tbody", "thead", "tfoot", "body", "html"))
+_P = frozenset(("p",))
+#: What a paragraph that is open outside does not end in.
+_SCOPE = frozenset(("button", "table", "td", "th", "caption"))
+
+
+class _Ends:
+    """Where raw elements end; a tag without an end further on is looked for once."""
+
+    def __init__(self, source: str):
+        self.source, self.missing = source, set()
+
+    def after(self, tag: str, at: int) -> re.Match | None:
+        if tag in self.missing:
+            return None
+        found = _end_of(tag).search(self.source, at)
+        if found is None:
+            self.missing.add(tag)
+        return found
+
+
+@functools.cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I)
+
+
 def parse(source: str) -> Page:
-    """DOM tree of tag soup, in document order: parents come before their children."""
+    """DOM tree of tag soup, in document order: parents come before their children.
+
+    Time grows with the length of the page, however deep, cut or unclosed its elements are.
+    """
     page = Page([Node("html", -1)])
-    nodes, open_ = page.nodes, [0]
+    nodes, open_, ends = page.nodes, _Open(), _Ends(source)
     block: list[int] = []
     links = 0
 
@@ -109,38 +158,30 @@ def parse(source: str) -> Page:
 
     def close(to: int) -> None:
         nonlocal links
-        for n in open_[to:]:
-            tag = nodes[n].tag
+        while len(open_.nodes) > to:
+            tag = nodes[open_.nodes.pop()].tag
+            open_.places[tag].pop()
             links -= tag == "a"
             if tag in BLOCK:
                 flush()
-        del open_[to:]
-
-    def find(tags: frozenset[str], within: frozenset[str]) -> int:
-        for at in range(len(open_) - 1, 0, -1):
-            tag = nodes[open_[at]].tag
-            if tag in tags:
-                return at
-            if tag in within:
-                return 0
-        return 0
-
-    def text(raw: str) -> None:
+
+    def text(raw: str, literal: bool = False) -> None:
         if not raw:
             return
-        if "&" in raw:
+        if "&" in raw and not literal:
             raw = html.unescape(raw)
         n = len(raw.strip())
         block.append(len(nodes))
         stops = raw.count(".") + raw.count(",") + raw.count("!") + raw.count("?")
-        nodes.append(Node("", open_[-1], text=raw, chars=n, linked=n if links else 0, stops=stops if n else 0))
+        nodes.append(Node("", open_.nodes[-1], text=raw, chars=n, linked=n if links else 0, stops=stops if n else 0))
 
     at, size = 0, len(source)
-    scope = frozenset(("button", "table", "td", "th", "caption", "html"))
+    last = source.rfind(">")
     while at < size:
-        m = TOKEN.search(source, at)
+        m = TOKEN.search(source, at) if at <= last else None
         if m is None:
-            text(source[at:])
+            # behind the last tag there is text, up to a comment that nothing ends
+            text(source[at:].partition("<!--")[0])
             break
         text(source[at : m.start()])
         at = m.end()
@@ -151,25 +192,22 @@ def parse(source: str) -> Page:
             if tag == "br":
                 text(" ")
                 continue
-            for i in range(len(open_) - 1, 0, -1):
-                if nodes[open_[i]].tag == tag:
-                    close(i)
-                    break
-                if nodes[open_[i]].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "table", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            i = open_.innermost(frozenset((tag,)))
+            if i and (tag in _IN_TABLES or i > open_.innermost(_CELL)):
+                close(i)
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
+                end = ends.after(tag, at)
                 at = end.end() if end else size if tag in ("script", "style") else at
             continue
         if tag == "br":
             text(" ")
             continue
-        if tag in CLOSES_P and (i := find(frozenset(("p",)), scope)):
+        if tag in CLOSES_P and (i := open_.innermost(_P)) > open_.innermost(_SCOPE):
             close(i)
         for group, holder in SIBLINGS:
-            if tag in group and (i := find(group, holder)):
+            if tag in group and (i := open_.innermost(group)) and i >= open_.innermost(holder):
                 close(i)
         if tag in BLOCK:
             flush()
@@ -181,12 +219,18 @@ def parse(source: str) -> Page:
             names = frozenset(w for k, v in found if k != "y" for w in WORD.findall(v.lower()))
             label = next((v for k, v in found if k == "y"), "")
         if tag in ("html", "body"):
-            if tag == "body" and nodes[0].tag == "html":
-                nodes[0].names |= names
+            if nodes[0].tag == "html":
+                nodes[0].names |= names if tag == "body" else frozenset()
+                nodes[0].label = nodes[0].label or label
             continue
         links += tag == "a"
-        open_.append(len(nodes))
-        nodes.append(Node(tag, open_[-2], names, label=label))
+        nodes.append(Node(tag, open_.nodes[-1], names, label=label))
+        open_.push(len(nodes) - 1, tag)
+        if tag in LITERAL:
+            end = ends.after(tag, at)
+            text(source[at : end.start() if end else size], literal=True)
+            at = end.end() if end else size
+            close(len(open_.nodes) - 1)
     flush()
     for i in range(len(nodes) - 1, 0, -1):
         n, up = nodes[i], nodes[nodes[i].parent]

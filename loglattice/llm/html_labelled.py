@@ -51,6 +51,10 @@ TEMPLATES = (
     '<html><body><p y="1">{s}</p><p y="1">{s}</p></body></html>',
     '<html><body><div y="1"><h1>{w}</h1><p>{s}</p><p>{s}</p><div>{p}</div></div><div class="sidebar"><div><p>{p}</p></div></div>'
     '<ul class="menu"><li><a href="/1">{w}</a></li></ul></body></html>',
+    '<html y="1"><body><p>{p}</p></body></html>',
+    '<html y="1"><body><p>{s} {s}</p></body></html>',
+    '<html y="1"><body>{p}</body></html>',
+    '<html y="1">{s} {s}</html>',
 )
 
 

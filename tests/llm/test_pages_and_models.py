@@ -1,5 +1,6 @@
 """Pages, urls, vectors and scores: held-out accuracy, brute force, and cases without rows or values."""
 
+import time
 import zlib
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from loglattice.llm import hilbert_ann, html_extract, quality, url_trust
+from loglattice.llm.html_extract import extract, trained
 from loglattice.llm.html_labelled import labelled_pages
 from loglattice.llm.queries import RULES
 
@@ -33,11 +35,13 @@ def test_main_text(page, text):
     assert html_extract.extract(page, html_extract.trained()) == text
 
 
-def test_content_model_on_pages_it_has_not_seen():
+@pytest.mark.parametrize("held, least", [(lambda i: i % 3 == 0, 0.95), (lambda i: i // 6 % 4 == 1, 0.85), (lambda i: i // 6 % 4 == 3, 0.85)],
+                         ids=["pages", "templates", "other templates"])
+def test_content_model_on_pages_it_has_not_seen(held, least):
     pages = labelled_pages(6)
-    model = html_extract.fit([p for i, p in enumerate(pages) if i % 3])
+    model = html_extract.fit([p for i, p in enumerate(pages) if not held(i)])
     right = total = 0
-    for source in pages[::3]:
+    for source in (p for i, p in enumerate(pages) if held(i)):
         page = html_extract.parse(source)
         seen, kinds = html_extract.features(page)
         odds, _, _ = html_extract.messages([n.parent for n in page.nodes], [sum(model.node[f] for f in s) for s in seen], model.edge, kinds)
@@ -45,7 +49,7 @@ def test_content_model_on_pages_it_has_not_seen():
             if not n.tag and n.chars:
                 total += 1
                 right += (o >= 0) == bool(y)
-    assert right / total > 0.95
+    assert right / total > least
 
 
 def test_messages_equal_enumeration():
@@ -187,3 +191,31 @@ def test_ranking_separates_and_cuts_at_the_quantile():
     r = quality.fit_ranker(x, y)
     strength = (x - np.array(r.mean)) @ np.array(r.weight)
     assert ((strength >= r.cut) == (y == 1)).mean() > 0.95
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<html><body><p>Just a paragraph of text, with some words in it. And another sentence.</p></body></html>",
+     "Just a paragraph of text, with some words in it. And another sentence."),
+    ("A text without markup. It has a second sentence.", "A text without markup. It has a second sentence."),
+    ("<article><p>Energy is <math><mi>E</mi>=m</math> as they said, and others agreed.</p><xmp>as <b>typed</b> &amp; shown.</xmp>"
+     "<noscript><p>Without scripts, this sentence is shown.</p></noscript><object><p>In place of the object, a sentence.</p></object></article>",
+     "Energy is E=m as they said, and others agreed.\nas <b>typed</b> &amp; shown.\nWithout scripts, this sentence is shown.\n"
+     "In place of the object, a sentence."),
+    ("<article><p>Before the script, a sentence.</p><script>var a = '</p>';</script><style>p {}</style><textarea>typed</textarea><p>And after it, one more.",
+     "Before the script, a sentence.\nAnd after it, one more."),
+    ("<article><p>A sentence that ends before the cut tag. Another one.</p><p data-x='{\"a\":\"b\",", None),
+])
+def test_nothing_of_the_article_is_dropped_by_its_tag(source, text):
+    got = extract(source, trained())
+    assert got.startswith("A sentence that ends before the cut tag.") if text is None else got == text
+
+
+@pytest.mark.parametrize("source", [
+    "<div data-j='{" + '"k0":"v",' * 110_000, '"' * 1_000_000, "<a " + "\"'" * 500_000, "<title>" * 140_000, "<div>" * 100_000,
+    "<div>" * 50_000 + "</span>" * 50_000, "<xmp>" * 100_000, '<a "' * 250_000, "<" * 1_000_000, "<!--" * 250_000, "<p><table>" * 50_000,
+    "<li><ul>" * 50_000, "<b>" * 100_000 + "</i>" * 100_000,
+], ids=range(13))
+def test_odd_pages_take_time_in_proportion(source):
+    start = time.process_time()
+    extract(source, trained())
+    assert time.process_time() - start < 6
