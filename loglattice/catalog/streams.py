@@ -8,12 +8,15 @@ from pyspark.sql import types as T
 
 from loglattice.catalog.common import ATTR_EVENTS, ATTR_EVENTS_SQL, EVENTS, PREFIX
 from loglattice.catalog.search import RULES, RULES_SQL
+from loglattice.catalog.tables import SQL as TABLES_SQL, _flat, payloads
 from loglattice.operators import predicates as P
 from loglattice.operators.predicates import filter_logs
 from loglattice.operators.rules import tag_matches
 from loglattice.plans.durable import scratch_path
 from loglattice.sources.live import compact, read_live
 from loglattice.sources.logs import read_logs
+from loglattice.sources.otlp import otlp_logs
+from loglattice.view import LogView
 from loglattice.streaming.status import STATE_STORE, stream_status
 from loglattice.streaming.streams import (
     event_time, ingest, rank_stream, rank_windows, read_ranks, stream_correlate, stream_dedupe, stream_logs, stream_top_values, stream_volume,
@@ -104,6 +107,21 @@ def _compacted(s, d):
 QUERIES["src_compact"] = _compacted
 SQL["src_compact"] = "SELECT * FROM events"
 
+
+def _collected(s, d):
+    """Requests arriving as lines of text, shredded and ingested by day, then searched over a time range."""
+    source, out, state = (scratch_path(s, f"otlp-{x}") for x in ("source", "table", "state"))
+    payloads(s, d).repartition(4).write.text(source)
+    logs = otlp_logs(stream_logs(s, source, "value string", format="text", batch_files=2))
+    view = LogView.otel()
+    ingest(logs, out, state, view, trigger={"availableNow": True}).awaitTermination()
+    view = view.with_(partition_col="event_date", partition_by="day")
+    return _flat(filter_logs(read_logs(s, out), view, P.time_range(FROM, TO)))
+
+
+QUERIES["st_otlp"] = _collected
+SQL["st_otlp"] = f"SELECT * FROM ({TABLES_SQL['src_otlp_logs']}) WHERE ts >= TIMESTAMP '{FROM}' AND ts <= TIMESTAMP '{TO}'"
+
 QUERIES["st_volume"] = lambda s, d: _ntz(
     drain_updates(stream_volume(arriving(s, d), EVENTS, "hour"), ["time", "level"], "count", "volume"), "time"
 )
