@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from loglattice.catalog.common import ATTR_EVENTS, ATTR_EVENTS_SQL, DOCS, EVENTS, TURNS, attr_events, table
+from loglattice.operators.near import first_rows, surrounding_few
 from loglattice.operators import predicates as P
 from loglattice.operators.compare import compare_rows, diff_within
 from loglattice.operators.explore import (
@@ -107,6 +108,26 @@ SQL["surrounding_many"] = """
   FROM pos JOIN e ON e.user_id = pos.user_id AND (e.p BETWEEN nb - 2 AND nb OR e.p BETWEEN nle + 1 AND nle + 3)
 """
 
+def _surrounding_few(s, d):
+    """Around the largest value of each day."""
+    top = F.max(F.struct("value", "event_id", "user_id", "ts")).alias("m")
+    anchors = events(s, d).groupBy(F.to_date("ts")).agg(top).select(F.col("m.event_id").alias("anchor_id"), "m.user_id", "m.ts")
+    return surrounding_few(events(s, d), EVENTS, anchors, n=3)
+
+
+QUERIES["surrounding_few"] = _surrounding_few
+SQL["surrounding_few"] = SQL["surrounding_many"].replace(
+    "FROM events WHERE event_type = 'error'", "FROM events QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value DESC, event_id DESC) = 1"
+)
+
+QUERIES["first_by_value"] = lambda s, d: first_rows(events(s, d), EVENTS, 200, "value", sample_rows=2000)
+SQL["first_by_value"] = "SELECT * FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 200"
+QUERIES["page_by_type"] = lambda s, d: first_rows(
+    events(s, d), EVENTS, 50, "event_type", descending=False, offset=500, where=P.gt("props.k", 5), sample_rows=300
+)
+SQL["page_by_type"] = """SELECT * FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) > 5
+  ORDER BY event_type NULLS LAST, event_id LIMIT 50 OFFSET 500"""
+
 QUERIES["compare"] = lambda s, d: compare_rows(events(s, d), EVENTS, F.col("event_id") == 5)
 SQL["compare"] = """
   WITH t AS (SELECT event_id, CAST(ts AS VARCHAR) AS ts, event_type, props, CAST(user_id AS VARCHAR) AS user_id, CAST(value AS VARCHAR) AS val FROM events),
