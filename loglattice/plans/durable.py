@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,4 +44,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, read back from a compressed columnar table in the shared folder."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or address, and its name there."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more: what was made of them is written itself.
+
+    Where their file system cannot be reached from here they are left behind.
+    """
+    for table in tables:
+        path = getattr(table, "_written_at", None)
+        if path is not None:
+            try:
+                fs, name = filesystem(path)
+                fs.delete_dir(name)
+            except (OSError, pa.ArrowException):
+                continue

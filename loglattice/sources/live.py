@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pyarrow.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from pyspark.sql.window import Window
 from loglattice.functions.coarse import coarse_literal
 from loglattice.functions.fields import Scope, quoted
 from loglattice.functions.literals import bound_literal, naive_utc
-from loglattice.plans.durable import written
+from loglattice.plans.durable import filesystem, written
 from loglattice.view import LogView
 
 REWRITTEN, CHANGES = "_rewritten", "_changes"
@@ -195,12 +194,6 @@ def expire_rows(spark: SparkSession, path: str, view: LogView, now, days: int =
     return n
 
 
-def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return pyarrow.fs.FileSystem.from_uri(path)
-
-
 def sweep(spark: SparkSession, path: str) -> int:
     """Delete the files that commits have replaced; returns how many.
 
@@ -216,7 +209,7 @@ def sweep(spark: SparkSession, path: str) -> int:
     listed = listed if rewritten is None else listed.unionByName(rewritten)
     n = 0
     for row in listed.join(log, "file", "left_semi").select("path").toLocalIterator():
-        fs, name = _filesystem(row["path"])
+        fs, name = filesystem(row["path"])
         fs.delete_file(name)
         n += 1
     return n
