@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.plans.durable import written
+from loglattice.plans.durable import forget, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Large-star and small-star rounds: every node hands its larger neighbours, then its smaller ones, to
     the smallest it knows, until nothing changes.  Links may repeat, point either way or to themselves.
-    Each round is written out; a hub is a key with many rows on one side and one on the other.
+    Each round is written out, and the one before deleted; a hub is a key with many rows on one side and one on the other.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = written(edges, "links")
@@ -28,8 +28,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "links")
+        forget(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.union(least).distinct(), "links")
+        forget(large)
     roots = edges.select(F.col("v").alias("u"), "v").distinct()
     return edges.union(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))

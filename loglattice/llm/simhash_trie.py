@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from loglattice.llm.common import shipped, whole
 from loglattice.llm.components import components
-from loglattice.plans.durable import written
+from loglattice.plans.durable import forget, written
 
 #: Signatures of one block value that a task joins at most; more are cut into cells.
 CELL = 50_000
@@ -383,7 +383,10 @@ def _may_be_similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingl
     total = F.col("size_a") + F.col("size_b")
     fits = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9
     met = pairs.join(of_a, "a").join(of_b, "b").where(fits)
-    return met.where(apart("sketch_a", "sketch_b") <= total * F.lit((1 - similarity) / (1 + similarity)) + 1e-9).select("a", "b")
+    found = met.where(apart("sketch_a", "sketch_b") <= total * F.lit((1 - similarity) / (1 + similarity)) + 1e-9).select("a", "b")
+    found = written(found, "simhash-maybe")
+    forget(known)
+    return found
 
 
 def _mentioned(pairs: DataFrame) -> DataFrame:
@@ -396,14 +399,18 @@ def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int)
     Sketches of a kilobyte a text go first; sets are made and moved only for the pairs that they leave.
     """
     pairs = written(pairs, "simhash-pairs")
-    some = _kept(docs, _mentioned(pairs), "doc_id", "left_semi")
-    pairs = written(_may_be_similar(pairs, some, similarity, shingle), "simhash-maybe")
-    sets = written(_shingle_sets(_kept(docs, _mentioned(pairs), "doc_id", "left_semi"), shingle), "simhash-sets")
+    named = _mentioned(pairs)
+    maybe = _may_be_similar(pairs, _kept(docs, named, "doc_id", "left_semi"), similarity, shingle)
+    forget(pairs, named)
+    pairs, named = maybe, _mentioned(maybe)
+    sets = written(_shingle_sets(_kept(docs, named, "doc_id", "left_semi"), shingle), "simhash-sets")
     of_a, of_b = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
     near = of_a.join(F.broadcast(pairs), "a") if pairs.count() <= FEW_IDS else of_a.join(pairs, "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
     enough = both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)
-    return written(near.join(of_b, "b").where(enough).select("a", "b"), "simhash-similar")
+    found = written(near.join(of_b, "b").where(enough).select("a", "b"), "simhash-similar")
+    forget(pairs, named, sets)
+    return found
 
 
 #: Texts whose shingles are counted, to put common shingles last, and how many of them make one common.
@@ -486,6 +493,7 @@ def _exact_links(docs: DataFrame, links: DataFrame, similarity: float, shingle:
         live = written(live.select("h", "r", "id", "component", "size", "sketch"), "simhash-live")
         last = live.agg(F.max("r")).first()[0]
         if last is None:
+            forget(sets, rows, live)
             return links
         p = live.where((F.col("r") > low) & (F.col("r") <= high)).select("h", *[F.col(c).alias(f"p_{c}") for c in ("r", "id", "size", "sketch", "component")])
         apart = sum((F.bit_count(F.col("sketch")[w].bitwiseXOR(F.col("p_sketch")[w])) for w in range(PARITY // 64)), F.lit(0))
@@ -496,8 +504,11 @@ def _exact_links(docs: DataFrame, links: DataFrame, similarity: float, shingle:
             & (apart <= total * F.lit((1 - similarity) / (1 + similarity)) + 1e-9)
         )
         pairs = live.join(p, may).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-        links = written(links.union(_similar(pairs, docs, similarity, shingle)), "simhash-links")
+        more = _similar(pairs, docs, similarity, shingle)
+        before, links = links, written(links.union(more), "simhash-links")
+        forget(before, more, live)
         if last <= high + 1:
+            forget(sets, rows)
             return links
         low, high = high, high * 8
 
@@ -512,7 +523,9 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, pl
     sigs = written(signatures(docs, shingle, plan, distinct=True).withColumnRenamed("doc_id", "id"), "simhash")
     found = near_links(sigs, plan).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (~F.col("sure")).alias("open"))
     likely = found.groupBy("b").agg(F.min(F.struct("open", "a"))["a"].alias("a")).select("a", "b")  # one a text, as the join finds all
-    return _exact_links(docs, _similar(likely, docs, similarity, shingle), similarity, shingle)
+    links = _similar(likely, docs, similarity, shingle)
+    forget(sigs)
+    return _exact_links(docs, links, similarity, shingle)
 
 
 def keep_one_of_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -536,5 +549,7 @@ def keep_one_of_similar(docs: DataFrame, similarity: float = 0.8, shingle: int =
     named = grouped.join(known.select("__node", "doc_id", "__row"), "__node")
     stay = named.groupBy("component").agg(F.min(F.struct("doc_id", "__row", "__node")).alias("first")).select("first.__node")
     gone = grouped.select("__node").join(stay, "__node", "left_anti").union(copies)
-    kept = _kept(known, written(gone, "simhash-gone"), "__node", "left_anti")
+    gone = written(gone, "simhash-gone")
+    forget(links, grouped, copies)
+    kept = _kept(known, gone, "__node", "left_anti")
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

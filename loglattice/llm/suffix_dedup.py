@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm.common import shipped, whole
 from loglattice.llm.minimizers import runs
-from loglattice.plans.durable import written
+from loglattice.plans.durable import forget, written
 
 #: Anchor sizes, from coarse to single windows; each step sorts only what the one before left open.
 STEPS = (32, 72, 96, 100)
@@ -298,8 +298,8 @@ def sort_suffixes(rows: DataFrame, make, columns: list[str], estimate: int, k: i
     return blobs.groupBy("r").applyInArrow(merge, "doc long, place long, length long, content binary")
 
 
-def candidate_runs(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(row, run) of ``docs`` (row, body): runs of windows whose minimum occurs elsewhere, packed into longs."""
+def candidate_runs(docs: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(row, run) of ``docs`` (row, body): runs of windows whose minimum occurs elsewhere, packed into longs; and the table they are read from."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,7 +311,7 @@ def candidate_runs(docs: DataFrame, window: int, k: int) -> DataFrame:
     found = written(shipped(docs).select("row", "body").mapInArrow(find, "m long, row long, run long"), "suffix-runs")
     often = found.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
     own = found.where(F.col("run").bitwiseAND(F.lit(1)) == 1)
-    return found.join(often, "m", "left_semi").union(own).select("row", "run")
+    return found.join(often, "m", "left_semi").union(own).select("row", "run"), found
 
 
 def repeated_spans(docs: DataFrame, window: int = 100, steps: tuple[int, ...] = STEPS) -> tuple[DataFrame, DataFrame]:
@@ -329,8 +329,10 @@ def repeated_spans(docs: DataFrame, window: int = 100, steps: tuple[int, ...] =
     ranks = names.select("doc", "row").distinct().groupBy("doc").agg(F.array_sort(F.collect_set("row")).alias("rows"))
     ranked = ranks.select("doc", F.posexplode("rows").alias("rank", "row")).select("row", "rank")
     info = names.join(firsts, "h").select("row", (F.col("f.row") != F.col("row")).alias("copy")).join(ranked, "row")
-    runs_ = candidate_runs(all_, window, steps[0]).groupBy("row").agg(F.collect_set("run").alias("runs"))
+    met, found = candidate_runs(all_, window, steps[0])
+    runs_ = met.groupBy("row").agg(F.collect_set("run").alias("runs"))
     known = written(info.join(runs_, "row", "left"), "suffix-info")
+    forget(found)
     joined = all_.join(known, "row")
     open_ = F.col("runs").isNotNull() & ~F.col("copy")
     digest = F.when(~open_, F.sha2(F.when(F.col("copy") & (F.octet_length("body") >= window), F.lit(b"").cast("binary")).otherwise(F.col("body")), 256))
@@ -341,7 +343,9 @@ def repeated_spans(docs: DataFrame, window: int = 100, steps: tuple[int, ...] =
     rows = written(rows, "suffix-rows")
     place = F.shiftleft(F.col("rank").cast("long"), PLACE)
     fragments = rows.where("body is not null").select("doc", place.alias("place"), F.col("body").alias("content"), "runs")
+    forget(known)
     spans: DataFrame | None = None
+    before = None
     for step, k in enumerate(steps):
         last = k == window
         if step == 0:
@@ -352,9 +356,13 @@ def repeated_spans(docs: DataFrame, window: int = 100, steps: tuple[int, ...] =
             estimate = windows * 2 // (window - k + 2)
             make, columns = _entries_of_fragments(k, window), ["doc", "place", "content"]
         judged = written(sort_suffixes(fragments, make, columns, estimate, k, last), "suffix-step")
-        gone = judged.where("content is null").select("doc", "place", "length")
+        gone = written(judged.where("content is null").select("doc", "place", "length"), "suffix-gone")
+        if before is not None:
+            forget(before)  # the step before: its spans are written, its fragments are judged
+        before = judged
         spans = gone if spans is None else spans.union(gone)
         fragments = judged.where("content is not null").select("doc", "place", "content")
+    forget(before)
     rank = F.shiftrightunsigned("place", PLACE).cast("int")
     start = F.col("place").bitwiseAND(F.lit((1 << PLACE) - 1))
     return rows, spans.select("doc", rank.alias("rank"), start.alias("start"), "length")
