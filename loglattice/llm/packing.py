@@ -21,7 +21,7 @@ from loglattice.llm.common import shipped, whole
 from loglattice.plans.durable import written
 
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
-#: Words of which a Python worker remembers the ids; it starts anew beyond.
+#: Words of which a Python worker remembers the ids; beyond, those that were not met since the last time are forgotten.
 WORD_CACHE = 400_000
 #: Pieces that one task packs at once.
 SHARD_PIECES = 50_000
@@ -58,12 +58,15 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, parts: set[str]) -> None:
-        new = [w for w in parts if w not in self.known]
-        if len(self.known) + len(new) > WORD_CACHE:
-            self.known = {"": b""}
-            new = [w for w in parts if w]
+        if len(self.known) + len(parts.difference(self.known)) > WORD_CACHE:
+            self.older, self.known = self.known, {"": b""}
+        new = parts.difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        new = list(new.difference(again))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
