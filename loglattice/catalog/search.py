@@ -6,7 +6,7 @@ from loglattice.catalog.common import ATTR_EVENTS, ATTR_EVENTS_SQL, DOCS, EVENTS
 from loglattice.operators import predicates as P
 from loglattice.operators.filters import Filter, apply_filters, cell_filter
 from loglattice.operators.predicates import filter_logs
-from loglattice.operators.rules import count_matches, tag_matches
+from loglattice.operators.rules import count_matches, tag_matches, match_rules
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
@@ -112,3 +112,15 @@ SQL["tag_rules_count"] = " UNION ALL ".join(
 )
 QUERIES["p_body_ignored"] = lambda s, d: filter_logs(table(s, d, "events"), EVENTS, P.term("x") & ~P.term("y") & P.eq("event_type", "view"))
 SQL["p_body_ignored"] = "SELECT * FROM events WHERE event_type = 'view'"
+
+
+# --- five thousand rules, indexed by a word of each; the last two are tested on every row ---------
+
+MANY_RULES = {f"u{i}": P.phrase(f"req-{i}") & ~P.term("took_3%") for i in range(5000)}
+MANY_RULES |= {"odd": P.phrase("click: req-5") | P.wildcard("error: * took_7%"), "part": P.term("ignup"), "large": P.gt("value", 100)}
+QUERIES["tag_rules_many"] = lambda s, d: match_rules(attr_events(s, d), ATTR_EVENTS, MANY_RULES)
+SQL["tag_rules_many"] = """
+  SELECT event_id, 'u' || user_id AS rule FROM events WHERE user_id < 5000 AND event_id % 10 <> 3
+  UNION ALL SELECT event_id, 'odd' FROM events WHERE (event_type = 'click' AND user_id = 5) OR (event_type = 'error' AND event_id % 10 = 7)
+  UNION ALL SELECT event_id, 'part' FROM events WHERE event_type = 'signup'
+  UNION ALL SELECT event_id, 'large' FROM events WHERE value > 100"""

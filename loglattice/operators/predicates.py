@@ -8,9 +8,11 @@ bare term on a table whose view maps no body.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,12 +28,29 @@ from loglattice.view import LogView
 Binder = Callable[[Scope], "Column | None"]
 
 
+@dataclass(frozen=True)
+class BodyTest:
+    """One test of the body as data: an ILIKE pattern or a regular expression that must fit, or must not."""
+
+    like: bool
+    pattern: str
+    wanted: bool = True
+    #: what a body that fits must hold; nothing where it must not fit
+    needs: Needs = None
+
+
+#: alternatives above which a predicate is no longer written out as such
+MOST_CLAUSES = 32
+
+
 @dataclass(frozen=True)
 class Predicate:
     bind: Binder
     label: str = ""
     #: words of the body without which no row can match (None: nothing is known)
     needs: Callable[[Scope], Needs] = lambda scope: None
+    #: the predicate as alternatives of body tests (None: it is not about the body alone)
+    clauses: Callable[[Scope], "list[tuple[BodyTest, ...]] | None"] = lambda scope: None
 
     def __and__(self, other: "Predicate") -> "Predicate":
         return all_of(self, other)
@@ -103,8 +122,23 @@ def _body(scope: Scope) -> Column | None:
     return scope.role("body") if scope.view.body else None
 
 
-def _on_body(scope: Scope, needs: Needs) -> Needs:
-    return needs if scope.view.body else None
+def _body_test(bind: Binder, label: str, test: BodyTest) -> Predicate:
+    def has(scope: Scope) -> bool:
+        return scope.view.body is not None
+
+    return Predicate(bind, label, lambda s: test.needs if has(s) else None, lambda s: [(test,)] if has(s) else None)
+
+
+def _like_test(text: str) -> BodyTest:
+    return BodyTest(True, f"%{escape_like(text)}%", needs=needed(text, False, False))
+
+
+def _phrase_test(text: str) -> BodyTest:
+    return BodyTest(False, phrase_pattern(text), needs=needed(text, True, True))
+
+
+def _wildcard_test(pattern: str) -> BodyTest:
+    return BodyTest(True, wildcard_pattern(pattern), needs=needed_by_wildcard(pattern))
 
 
 def term(text: str) -> Predicate:
@@ -114,7 +148,7 @@ def term(text: str) -> Predicate:
         body = _body(scope)
         return None if body is None else contains_match(body, text)
 
-    return Predicate(bind, text, lambda scope: _on_body(scope, needed(text, False, False)))
+    return _body_test(bind, text, _like_test(text))
 
 
 def phrase(text: str, field: str | None = None, on_unresolved: str = "error") -> Predicate:
@@ -125,12 +159,12 @@ def phrase(text: str, field: str | None = None, on_unresolved: str = "error") ->
             body = _body(scope)
             return None if body is None else phrase_match(body, text)
 
-        return Predicate(bind, f'"{text}"', lambda scope: _on_body(scope, needed(text, True, True)))
+        return _body_test(bind, f'"{text}"', _phrase_test(text))
 
     def on_field(r: Resolved) -> Column:
         return phrase_match(r.column, text) if r.kind == "text" else _equals(r, text, True)
 
-    return _on(field, on_field, on_unresolved, f"{field}:{text}", needed(text, True, True))
+    return _on(field, on_field, on_unresolved, f"{field}:{text}", _phrase_test(text))
 
 
 def wildcard(pattern: str, field: str | None = None, on_unresolved: str = "error") -> Predicate:
@@ -142,17 +176,17 @@ def wildcard(pattern: str, field: str | None = None, on_unresolved: str = "error
             body = _body(scope)
             return None if body is None else body.ilike(like)
 
-        return Predicate(bind, pattern, lambda scope: _on_body(scope, needed_by_wildcard(pattern)))
+        return _body_test(bind, pattern, _wildcard_test(pattern))
     on_field = lambda r: r.field.as_string().ilike(like)
-    return _on(field, on_field, on_unresolved, f"{field}:{pattern}", needed_by_wildcard(pattern))
+    return _on(field, on_field, on_unresolved, f"{field}:{pattern}", _wildcard_test(pattern))
 
 
 # --- fields -------------------------------------------------------------------------------------
 
-def _on(field: str, build: Callable[[Resolved], Column], on_unresolved: str, raw: str, text_needs: Needs = None) -> Predicate:
+def _on(field: str, build: Callable[[Resolved], Column], on_unresolved: str, raw: str, text_test: BodyTest | None = None) -> Predicate:
     """Apply ``build`` to a field; a name that is no field is an error or a search of the body.
 
-    ``text_needs`` is what ``build`` asks of the body's words where the field is the body.
+    ``text_test`` is the test that ``build`` makes where the field is the body.
     """
     if on_unresolved not in ("error", "body"):
         raise ValueError("on_unresolved is 'error' or 'body'")
@@ -165,13 +199,21 @@ def _on(field: str, build: Callable[[Resolved], Column], on_unresolved: str, raw
             raise UnresolvedField(f"no field {field!r}")
         return (wildcard(raw) if "*" in raw else term(raw)).bind(scope)
 
-    def needs(scope: Scope) -> Needs:
+    def as_body(scope: Scope) -> Predicate | None:
         hit = scope.resolve(field)
         if hit is None:
-            return (wildcard(raw) if "*" in raw else term(raw)).needs(scope)
-        return text_needs if hit.kind == "text" else None
+            return wildcard(raw) if "*" in raw else term(raw)
+        return _body_test(bind, raw, text_test) if hit.kind == "text" and text_test is not None else None
+
+    def needs(scope: Scope) -> Needs:
+        found = as_body(scope)
+        return None if found is None else found.needs(scope)
+
+    def clauses(scope: Scope) -> list[tuple[BodyTest, ...]] | None:
+        found = as_body(scope)
+        return None if found is None else found.clauses(scope)
 
-    return Predicate(bind, raw, needs)
+    return Predicate(bind, raw, needs, clauses)
 
 
 def _equals(r: Resolved, value, quoted: bool) -> Column:
@@ -200,8 +242,8 @@ def eq(field: str, value, quoted: bool = False, on_unresolved: str = "error") ->
             return contains_match(r.column, str(value))
         return _equals(r, value, quoted)
 
-    asks = None if value is None else needed(str(value), False, False)
-    return _on(field, on_field, on_unresolved, f"{field}:{value}", asks)
+    test = None if value is None else _like_test(str(value))
+    return _on(field, on_field, on_unresolved, f"{field}:{value}", test)
 
 
 def non_empty(r: Resolved) -> Column:
@@ -332,12 +374,24 @@ def any_field(pattern: str, make: Callable[[str], Predicate]) -> Predicate:
 
 # --- composition --------------------------------------------------------------------------------
 
+def _either(parts: list) -> list[tuple[BodyTest, ...]] | None:
+    if any(p is None for p in parts) or sum(map(len, parts)) > MOST_CLAUSES:
+        return None
+    return [clause for p in parts for clause in p]
+
+
+def _every(parts: list) -> list[tuple[BodyTest, ...]] | None:
+    if any(p is None for p in parts) or math.prod(map(len, parts)) > MOST_CLAUSES:
+        return None
+    return [tuple(t for clause in chosen for t in clause) for chosen in itertools.product(*parts)]
+
+
 def all_of(*preds: Predicate) -> Predicate:
     def bind(scope: Scope):
         bound = [c for c in (p.bind(scope) for p in preds) if c is not None]
         return reduce(lambda a, b: a & b, bound) if bound else None
 
-    return Predicate(bind, " and ".join(p.label for p in preds), lambda scope: all_needed([p.needs(scope) for p in preds]))
+    return Predicate(bind, " and ".join(p.label for p in preds), lambda scope: all_needed([p.needs(scope) for p in preds]), lambda scope: _every([p.clauses(scope) for p in preds]))
 
 
 def any_of(*preds: Predicate) -> Predicate:
@@ -347,7 +401,7 @@ def any_of(*preds: Predicate) -> Predicate:
             return F.lit(True) if bound else None
         return reduce(lambda a, b: a | b, bound) if bound else None
 
-    return Predicate(bind, " or ".join(p.label for p in preds), lambda scope: any_needed([p.needs(scope) for p in preds]))
+    return Predicate(bind, " or ".join(p.label for p in preds), lambda scope: any_needed([p.needs(scope) for p in preds]), lambda scope: _either([p.clauses(scope) for p in preds]))
 
 
 def negate(pred: Predicate) -> Predicate:
@@ -355,7 +409,13 @@ def negate(pred: Predicate) -> Predicate:
         bound = pred.bind(scope)
         return None if bound is None else ~bound
 
-    return Predicate(bind, f"not {pred.label}")
+    def clauses(scope: Scope) -> list[tuple[BodyTest, ...]] | None:
+        known = pred.clauses(scope)
+        if known is None:
+            return None
+        return _every([[(replace(t, wanted=not t.wanted, needs=None),) for t in clause] for clause in known])
+
+    return Predicate(bind, f"not {pred.label}", clauses=clauses)
 
 
 # --- time ---------------------------------------------------------------------------------------
