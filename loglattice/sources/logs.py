@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from loglattice.functions.coarse import coarse_column, coarse_literal
 from loglattice.functions.fields import Scope, quoted
 from loglattice.functions.literals import naive_utc
+from loglattice.plans.durable import filesystem
 from loglattice.view import LogView
 
 # The macros a query may use for the bounds of the time range.
@@ -100,10 +101,9 @@ def drop_expired(spark: SparkSession, path: str, view: LogView, now, days: int =
     """Removes the partition folders that hold only expired rows; returns their values."""
     df = spark.read.format(format).load(path)
     gone = sorted(r[0] for r in expired_partitions(df, view, now, days).collect())
-    jvm = spark.sparkContext._jvm
     for value in gone:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{view.partition_col}={value}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        fs, name = filesystem(f"{path.rstrip('/')}/{view.partition_col}={value}")
+        fs.delete_dir(name)
     return gone
 
 
