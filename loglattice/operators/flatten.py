@@ -127,14 +127,36 @@ def _deeper(name: str, levels: int) -> Column:
     return F.flatten(F.transform(quoted(name), lambda x: _opened(x["path"], x["value"], levels)))
 
 
+#: what is neither a brace nor may hold one that counts: strings, and all other signs
+_NO_BRACES = r'"(?:[^"\\]++|\\.)*+"|[^{}"]++'
+
+
+def _nesting(text: Column) -> Column:
+    """Braces of JSON text that are open at once, at most; those inside strings do not count."""
+    braces = F.split(F.regexp_replace(text, _NO_BRACES, ""), "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(at: Column, sign: Column) -> Column:
+        now = at["open"] + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
+        return F.struct(now.alias("open"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(braces, start, step, lambda at: at["most"])
+
+
 def depth_of(df: DataFrame, column: str) -> int:
     """Levels of objects within objects in a JSON column, over all rows.
 
-    Leaves are opened a few levels deep, then twice as deep, until none of them is an object; flat
-    data needs one pass.  A stream has no end to look at, so it must be given a depth.
+    JSON text is not parsed for it: a scan looks for a second brace, and only if there is one another
+    counts how deep they nest (objects in arrays count too, which costs nothing but a level).  A VARIANT's
+    leaves are opened a few levels deep, then twice as deep, until none of them is an object.
     """
     if df.isStreaming:
         raise ValueError("give max_depth for a stream")
+    if isinstance(df.schema[column].dataType, T.StringType):
+        text = quoted(column)
+        if not df.agg(F.coalesce(F.bool_or(F.locate("{", F.ltrim(text), 2) > 0), F.lit(False))).first()[0]:
+            return 1
+        return max(1, df.agg(F.coalesce(F.max(_nesting(text)), F.lit(1))).first()[0])
     value, depth = as_variant(quoted(column), df.schema[column].dataType), 6
     while True:
         opened = with_leaves(df.select(value.alias("__v")), "__leaves", F.col("__v"), depth)

@@ -151,3 +151,13 @@ def test_map_keys(spark):
     assert {(r.key, r.total) for r in map_keys(df, view, "m", sample=2).collect()} == {("a", 2), ("k8", 2), ("k9", 2)}
     assert {r.total for r in map_keys(df, view, "m", sample=None).collect()} == {11}
     assert {r.key: r["count"] for r in map_key_counts(df, "m").collect()}["a"] == 10
+
+
+@pytest.mark.parametrize("text, depth", [
+    ("{}", 1), ('{"a": 1}', 1), ('{"a": "{{{"}', 1), ('  {"a": {"b": 1}}', 2), ('{"a": "\\"{", "b": {"c": {}}}', 3), ('{"\\\\": {"x": "}"}}', 2),
+    ("not json {{{", 3), ("", 1), ('{"a": [{"b": {"c": 1}}]}', 3), ('{"a":' * 40 + "1" + "}" * 40, 40),
+])
+def test_depth_is_read_from_the_text(spark, text, depth):
+    from loglattice.operators.flatten import depth_of
+
+    assert depth_of(spark.createDataFrame([(text,), (None,), ('{"z": 0}',)], "j string"), "j") == depth
