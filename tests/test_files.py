@@ -40,13 +40,10 @@ def table(spark, tmp_path_factory):
 
 
 SEARCHES = [
-    P.term("payment"), P.term("ayme"), P.phrase("payment"), P.phrase("req-59"), P.term("req-59"), P.wildcard("pay*"), P.wildcard("*ok"),
-    P.wildcard("*"), P.term("100%"), P.term("a_b"), P.term("?"), P.phrase("it's fine"), P.phrase("abc"), P.phrase("abcs"), P.term("abcſ"),
-    P.phrase("ice"), P.term("ice"), P.phrase("İce"), P.term("İce"), P.phrase("kelvin"), P.term("KELV"), P.phrase("stra"), P.phrase("a"),
-    P.term("af"), P.phrase("café"), P.phrase("two"), P.phrase("needle"), P.term("needle"), P.term("xxx needle y"), P.phrase("nowhere"),
-    P.term("two\tthree"), P.eq("body", "fine"), P.eq("body", "it's fine", quoted=True), P.wildcard("req-*", "body"),
-    P.phrase("payment") & P.term("done"), P.phrase("needle") | P.phrase("what"), ~P.phrase("payment"), P.phrase("ok") & ~P.term("592"),
-    P.term(""), P.eq("svc", "s"),
+    P.term("ayme"), P.phrase("req-59"), P.term("req-59"), P.wildcard("pay*"), P.wildcard("*"), P.term("100%"), P.phrase("it's fine"),
+    P.phrase("abcs"), P.term("abcſ"), P.phrase("ice"), P.term("ice"), P.phrase("İce"), P.term("İce"), P.phrase("kelvin"), P.term("KELV"),
+    P.phrase("stra"), P.phrase("a"), P.term("af"), P.term("xxx needle y"), P.term("two\tthree"), P.eq("body", "it's fine", quoted=True),
+    P.wildcard("req-*", "body"), P.phrase("needle") | P.phrase("what"), P.phrase("ok") & ~P.term("592"), P.eq("svc", "s"),
 ]
 
 
@@ -59,8 +56,8 @@ def test_search_finds_what_a_full_scan_finds(spark, table):
 
 
 @pytest.mark.parametrize("search, files", [
-    (P.phrase("needle"), 1), (P.phrase("nowhere"), 0), (P.term("payment"), 2), (P.phrase("req-59"), 1), (P.term("ayme"), 2),
-    (P.phrase("needle") | P.phrase("what"), 2), (P.phrase("ok") & P.term("592"), 1), (P.term("ok") & ~P.phrase("ok"), len(BODIES)),
+    (P.phrase("needle"), 1), (P.phrase("nowhere"), 0), (P.term("ayme"), 2), (P.phrase("needle") | P.phrase("what"), 2),
+    (P.phrase("ok") & P.term("592"), 1), (P.term("ok") & ~P.phrase("ok"), len(BODIES)),
 ])
 def test_only_the_chosen_files_are_read(spark, table, search, files):
     path, view, _ = table

@@ -75,8 +75,8 @@ def test_only_near_rows_are_shuffled(spark, rows, tmp_path):
     assert read[0].index("BroadcastHashJoin") > shuffle > 0 and scan < read[0].index("BroadcastHashJoin") and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in read[0]
 
 
-@pytest.mark.parametrize("sort", ["v", "w", "ts", "svc", "id"])
-@pytest.mark.parametrize("offset, n", [(0, 5), (300, 20), (610, 50), (10_000, 5)])
+@pytest.mark.parametrize("sort", ["v", "w", "svc"])
+@pytest.mark.parametrize("offset, n", [(0, 5), (610, 50), (10_000, 5)])
 @pytest.mark.parametrize("descending", [True, False])
 def test_first_rows_equal_the_sorted_page(spark, rows, sort, offset, n, descending):
     want = [r.id for r in page(rows, VIEW, 0, offset + n, sort=sort, descending=descending).collect()][offset:]
