@@ -337,7 +337,7 @@ def near_components(docs: DataFrame, shingle: int = 3, plan: Plan = EXACT) -> Da
 
 
 #: Ids that are sent to every executor (16 bytes each there); more of them are joined by a shuffle.
-FEW_IDS = 500_000
+FEW_IDS = 200_000
 
 
 def _kept(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
@@ -345,12 +345,19 @@ def _kept(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, key, how)
 
 
+#: Texts whose shingle sets a worker holds at once.
+AT_ONCE = 200
+
+
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    @F.pandas_udf("array<long>")
-    def distinct(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.unique(shingle_hashes(t, shingle)).view(np.int64))
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), AT_ONCE):
+                some = b.iloc[at : at + AT_ONCE]
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in some["text"]]
+                yield pd.DataFrame({"doc_id": some["doc_id"], "set": sets})
 
-    return shipped(docs).select("doc_id", distinct(F.col("text")).alias("set"))
+    return shipped(docs).select("doc_id", "text").mapInPandas(distinct, "doc_id long, set array<long>")
 
 
 #: Bits of the longer sketch that pairs are compared by before their sets are.
@@ -371,8 +378,10 @@ def _may_be_similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingl
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "size": [len(s) for s in sets], "sketch": [_parity(s, LONG_PARITY) for s in sets]})
+            for at in range(0, len(b), AT_ONCE):
+                some = b.iloc[at : at + AT_ONCE]
+                made = [(len(s), _parity(s, LONG_PARITY)) for s in (np.unique(shingle_hashes(t, shingle)) for t in some["text"])]
+                yield pd.DataFrame({"doc_id": some["doc_id"], "size": [n for n, _ in made], "sketch": [p for _, p in made]})
 
     @F.pandas_udf("int")
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
