@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loglattice import LogView
 from loglattice.operators.querylog import correlation_status
 from loglattice.streaming import streams
-from loglattice.streaming.status import STATE_STORE, stream_status
+from loglattice.streaming.status import BUCKETS, STATE_STORE, stream_status
 from loglattice.streaming.streams import rank_stream, rank_windows, read_ranks, stream_logs, stream_top_values
 
 T0 = dt.datetime(2024, 1, 1)
@@ -82,6 +82,39 @@ def test_settled_rows_equal_the_batch_operator(spark, tmp_path, rocks):
     assert 8 not in got and got[3][0] == batch[3][0]
 
 
+def test_a_root_is_settled_at_the_watermark_and_ids_stay_exact_beside_a_null(spark, tmp_path, rocks):
+    big = 2**53
+    batches = [
+        ([(big, at(0), True), (big + 1, at(0), True), (None, at(0), True)], [(big + 1, at(90))]),
+        ([(5, at(90), True)], [(5, at(90))]),  # leaves the watermark at 60, when the first are due
+    ]
+    assert _run(spark, str(tmp_path), batches) == [
+        (0, None, "pending", 0, False), (0, big, "pending", 0, False), (0, big + 1, "ok", 1, False), (1, 5, "ok", 1, False),
+        (2, None, "no-data", 0, True), (2, big, "no-data", 0, True), (2, big + 1, "ok", 1, True),
+    ]
+
+
+def test_state_and_timers_are_set_once_a_bucket_and_not_once_a_root(spark, tmp_path, rocks):
+    count = 3 * BUCKETS
+    ids = spark.range(count).select(F.when(F.col("id") > 0, F.timestamp_micros("id")).alias("id"), F.col("id").alias("k"))
+    time = F.lit(at(0)).cast("timestamp")
+    ids.select(F.col("id").alias("root_id"), time.alias("start_time")).write.parquet(f"{tmp_path}/r")
+    ids.filter("k % 3 = 1").select(F.col("id").alias("trace_id"), time.alias("event_time")).write.parquet(f"{tmp_path}/q")
+    r = stream_logs(spark, f"{tmp_path}/r", "root_id timestamp, start_time timestamp")
+    q = stream_logs(spark, f"{tmp_path}/q", "trace_id timestamp, event_time timestamp")
+    got = []
+    writer = stream_status(r, q, 60).withColumn("k", F.unix_micros("root_id")).drop("root_id").writeStream
+    writer = writer.foreachBatch(lambda batch, _: got.extend(map(tuple, batch.collect()))).outputMode("update")
+    query = writer.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((k or 0, status, n, settled) for status, n, settled, k in got) == [
+        (k, "ok" if k % 3 == 1 else "pending", int(k % 3 == 1), False) for k in range(count)
+    ]
+    states = [p["stateOperators"][0] for p in query.recentProgress]
+    assert 0 < sum(p["customMetrics"]["numRegisteredTimers"] for p in states) <= BUCKETS + 1
+    assert max(p["numRowsTotal"] for p in states) <= 3 * (BUCKETS + 1)  # an entry and its timer in two orders
+
+
 # --- ranks --------------------------------------------------------------------------------------
 
 EVENTS = "id int, ts timestamp, sev string"
