@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -360,8 +361,10 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return shipped(docs).select("doc_id", "text").mapInPandas(distinct, "doc_id long, set array<long>")
 
 
-#: Bits of the longer sketch that pairs are compared by before their sets are.
-LONG_PARITY = 8192
+#: Bits of the longer sketches that pairs are compared by before their sets are, short ones first; each divides the next.
+LONG_PARITY = (1024, 8192)
+#: Bytes of sketches that are moved at once, as each pair takes those of its texts along.
+MOVED = 2 << 30
 
 
 def _parity(own: np.ndarray, bits: int) -> bytes:
@@ -369,33 +372,55 @@ def _parity(own: np.ndarray, bits: int) -> bytes:
     return np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def _folded(sketch: bytes, bits: int) -> bytes:
+    """The parity of the same hashes in fewer buckets."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, bits // 8), axis=0).tobytes()
+
+
 def _apart(a: bytes, b: bytes) -> int:
     return int.from_bytes(a).__xor__(int.from_bytes(b)).bit_count()
 
 
 def _may_be_similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The ``pairs`` that sizes and long sketches do not rule out."""
+    """The written ``pairs`` that sizes and long sketches do not rule out.
+
+    Pairs meet their sketches in parts of about ``MOVED`` bytes, one after the other, so that what is on
+    disk at once does not grow with the number of pairs.
+    """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), AT_ONCE):
                 some = b.iloc[at : at + AT_ONCE]
-                made = [(len(s), _parity(s, LONG_PARITY)) for s in (np.unique(shingle_hashes(t, shingle)) for t in some["text"])]
-                yield pd.DataFrame({"doc_id": some["doc_id"], "size": [n for n, _ in made], "sketch": [p for _, p in made]})
+                made = [(len(s), _parity(s, LONG_PARITY[-1])) for s in (np.unique(shingle_hashes(t, shingle)) for t in some["text"])]
+                rows = {"doc_id": some["doc_id"], "size": [n for n, _ in made]}
+                yield pd.DataFrame(rows | {f"sketch{n}": [_folded(p, n) for _, p in made] for n in LONG_PARITY})
 
     @F.pandas_udf("int")
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_apart(x, y) for x, y in zip(a, b)], dtype="int32")
 
-    known = written(shipped(docs).select("doc_id", "text").mapInPandas(sketch, "doc_id long, size int, sketch binary"), "simhash-sketches")
-    of_a, of_b = (known.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b"))
+    schema = "doc_id long, size int, " + ", ".join(f"sketch{n} binary" for n in LONG_PARITY)
+    known = written(shipped(docs).select("doc_id", "text").mapInPandas(sketch, schema), "simhash-sketches")
     total = F.col("size_a") + F.col("size_b")
     fits = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9
-    met = pairs.join(of_a, "a").join(of_b, "b").where(fits)
-    found = met.where(apart("sketch_a", "sketch_b") <= total * F.lit((1 - similarity) / (1 + similarity)) + 1e-9).select("a", "b")
-    found = written(found, "simhash-maybe")
+    left = pairs
+    for bits in LONG_PARITY:
+        of_a, of_b = (known.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col(f"sketch{bits}").alias(f"sketch_{c}")) for c in ("a", "b"))
+        parts = max(1, -(-left.count() * bits // 8 // MOVED))
+        found = []
+        for part in range(parts):
+            some = left.where(F.pmod(F.xxhash64("a", "b", F.lit(13)), F.lit(parts)) == part) if parts > 1 else left
+            met = some.join(of_a, "a").join(of_b, "b").where(fits)
+            near = apart("sketch_a", "sketch_b") <= total * F.lit((1 - similarity) / (1 + similarity)) + 1e-9
+            found.append(written(met.where(near).select("a", "b"), "simhash-maybe"))
+        before, left = left, found[0] if parts == 1 else written(reduce(DataFrame.union, found), "simhash-maybe")
+        if before is not pairs:
+            forget(before)
+        if parts > 1:
+            forget(*found)
     forget(known)
-    return found
+    return left
 
 
 def _mentioned(pairs: DataFrame) -> DataFrame:
@@ -405,7 +430,7 @@ def _mentioned(pairs: DataFrame) -> DataFrame:
 def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Those of the ``pairs`` (a, b) of doc_ids whose shingle sets have the similarity.
 
-    Sketches of a kilobyte a text go first; sets are made and moved only for the pairs that they leave.
+    Sketches of at most a kilobyte a text go first; sets are made and moved only for the pairs that they leave.
     """
     pairs = written(pairs, "simhash-pairs")
     named = _mentioned(pairs)
@@ -422,16 +447,18 @@ def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int)
     return found
 
 
-#: Texts whose shingles are counted, to put common shingles last, and how many of them make one common.
-COUNTED, COMMON = 5_000, 10
+#: Texts whose shingles are counted at least, to put common shingles last, and the part of all texts that is; how many of
+#: them make a shingle common, and how many common ones are known at most, the most common ones.
+COUNTED, COUNTED_OF, COMMON, KNOWN = 5_000, 5, 4, 500_000
 #: Bits of a sketch of a set: the parity of the number of its shingles in each of as many buckets.
 PARITY = 256
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles common in a sample of texts, and their counts.
+    """Sorted hashes of shingles common in a part of the texts, and their counts.
 
-    They only set the order of shingles: with any order no pair is lost.
+    They only set the order of shingles: with any order no pair is lost.  The part grows with the texts, as
+    a shingle that is taken for a rare one makes pairs of all prefixes that have it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -439,17 +466,19 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             for t in b["text"]:
                 yield pd.DataFrame({"h": np.unique(shingle_hashes(t, shingle)).view(np.int64)})
 
-    every = F.lit(max(1, docs.count() // COUNTED))
+    every = F.lit(max(1, min(COUNTED_OF, docs.count() // COUNTED)))
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), every) == 0).select("text")
     counts = shipped(some).mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    found = counts.orderBy(F.desc("n"), "h").limit(50_000).collect()
-    hashes = np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64)
+    counts = written(counts, "simhash-common")
+    found = counts.orderBy(F.desc("n"), "h").limit(KNOWN).toArrow()
+    forget(counts)
+    hashes = found["h"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], np.array([r["n"] for r in found], dtype=np.int64)[order]
+    return hashes[order], found["n"].to_numpy()[order]
 
 
 def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(id, size, sketch, prefix) of the shingle set of each text.
+    """(id, size, sketch, prefix) of the shingle set of each text, the prefix in the order of all shingles.
 
     In one order of all shingles, rare ones first, two sets with the similarity share a shingle of their
     prefixes: were the first size - similarity * size + 1 of one all missing in the other, too few would be left.
@@ -484,13 +513,14 @@ def _exact_links(docs: DataFrame, links: DataFrame, similarity: float, shingle:
 
     The rows of a shingle that prefixes share have a fixed order.  A round compares the next few rows of
     each shingle with all later ones, unless the pair is connected already, the sizes or the sketches rule
-    the similarity out (sets differ in at least as many shingles as sketches in bits).  Rounds end when
-    all rows of all shingles with more than one component have had their turn.
+    the similarity out (sets differ in at least as many shingles as sketches in bits), or so many shingles
+    stand before this one that it cannot be the first of enough shared ones; it is the first that counts.
+    Rounds end when all rows of all shingles with more than one component have had their turn.
     """
     sets = written(_prefixes(docs, similarity, shingle), "simhash-prefixes")
     by_shingle = Window.partitionBy("h")
-    rows = sets.select("id", F.explode("prefix").alias("h")).withColumn("n", F.count("*").over(by_shingle))
-    rows = rows.withColumn("r", F.row_number().over(by_shingle.orderBy(F.xxhash64("id", F.lit(9)), "id"))).where("n > 1").select("h", "r", "id")
+    rows = sets.select("id", F.posexplode("prefix").alias("at", "h")).withColumn("n", F.count("*").over(by_shingle))
+    rows = rows.withColumn("r", F.row_number().over(by_shingle.orderBy(F.xxhash64("id", F.lit(9)), "id"))).where("n > 1").select("h", "r", "id", "at")
     rows = written(rows, "simhash-met")
     low, high = 0, pivots
     while True:
@@ -499,17 +529,18 @@ def _exact_links(docs: DataFrame, links: DataFrame, similarity: float, shingle:
         mixed = live.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("r").alias("n"))
         mixed = mixed.where((F.col("x") != F.col("y")) & (F.col("n") > low + 1)).select("h")
         live = live.join(mixed, "h", "left_semi").join(sets.drop("prefix"), "id")
-        live = written(live.select("h", "r", "id", "component", "size", "sketch"), "simhash-live")
+        live = written(live.select("h", "r", "id", "component", "size", "sketch", (F.col("size") - F.col("at")).alias("rest")), "simhash-live")
         last = live.agg(F.max("r")).first()[0]
         if last is None:
             forget(sets, rows, live)
             return links
-        p = live.where((F.col("r") > low) & (F.col("r") <= high)).select("h", *[F.col(c).alias(f"p_{c}") for c in ("r", "id", "size", "sketch", "component")])
+        p = live.where((F.col("r") > low) & (F.col("r") <= high)).select("h", *[F.col(c).alias(f"p_{c}") for c in ("r", "id", "size", "sketch", "component", "rest")])
         apart = sum((F.bit_count(F.col("sketch")[w].bitwiseXOR(F.col("p_sketch")[w])) for w in range(PARITY // 64)), F.lit(0))
         total = F.col("size") + F.col("p_size")
         may = (
             (live["h"] == p["h"]) & (F.col("r") > F.col("p_r")) & (F.col("component") != F.col("p_component"))
             & (F.least("size", "p_size") >= F.lit(similarity) * F.greatest("size", "p_size") - 1e-9)
+            & (F.least("rest", "p_rest") >= total * F.lit(similarity / (1 + similarity)) - 1e-6)
             & (apart <= total * F.lit((1 - similarity) / (1 + similarity)) + 1e-9)
         )
         pairs = live.join(p, may).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()

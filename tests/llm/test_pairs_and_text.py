@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from loglattice.llm import fingerprints, packing, sentencepiece_bpe, simhash_trie, substring_fm, suffix_dedup
 from loglattice.llm.components import components
 from loglattice.llm.queries import tokenizer_file
+from loglattice.plans import durable
 
 WORDS = "the of and in to river market engine garden winter signal letter harbour method village copper window paper".split()
 
@@ -221,6 +223,86 @@ def test_pairs_of_a_group_are_not_multiplied(spark, monkeypatch):
     assert sum(made) < 10 * len(texts) and not hasattr(simhash_trie, "_compare")
 
 
+def _given(monkeypatch):
+    """What the search for similar texts has its pairs compared by: a list of the numbers of pairs of its calls."""
+    made, plain = [], simhash_trie._similar
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(simhash_trie, "_similar", counted)
+    return made
+
+
+def test_passages_of_a_few_long_texts_make_no_pairs(spark, monkeypatch):
+    """Each passage is in nine texts, which are too long for the short sketches to tell apart."""
+    made = _given(monkeypatch)
+    say = lambda name, n: " ".join(f"{name}x{i}" for i in range(n))
+    rows = [(9 * g + n, f"{say(f'g{g}n{n}', 600)} {say(f'p{g}', 60)}") for g in range(10) for n in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash_trie.keep_one_of_similar(table).count() == len(rows)
+    assert sum(made) < len(rows)
+
+
+def test_a_shingle_that_too_many_stand_before_makes_no_pairs(spark, monkeypatch):
+    """Pairs that share four shingles, in texts of 800 and 690 words, where no shingle is known as common."""
+    made = _given(monkeypatch)
+    monkeypatch.setattr(simhash_trie, "COMMON", 1000)
+    say = lambda name, n: " ".join(f"{name}x{i}" for i in range(n))
+    rows = [(100 * g + n, f"{say(f'g{g}n{n}', 800 - 110 * n)} {say(f'p{g}', 8)}") for g in range(60) for n in range(2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash_trie.keep_one_of_similar(table).count() == len(rows)
+    assert sum(made) < 20  # of 60 pairs; in about 35 a shared shingle is in both prefixes, which are a fifth of the shingles
+
+
+def test_pairs_meet_their_sketches_in_parts(spark, monkeypatch):
+    """However many parts there are, the same pairs stay, and what the parts wrote is deleted."""
+    words = [f"c{i}" for i in range(900)]
+    texts = [(n, " ".join(words[n : n + 700])) for n in range(0, 200, 20)] + [(1000, " ".join(words[100:]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = {n: set(shingles.tolist()) for n, t in texts for shingles in [simhash_trie.shingle_hashes(t, 5)]}
+    every = [(a, b) for a in sets for b in sets if a < b]
+    truth = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    sizes, plain = [], simhash_trie.written
+
+    def seen(df, label):
+        out = plain(df, label)
+        if label == "simhash-maybe":
+            sizes.append(out.count())
+        return out
+
+    pairs = plain(spark.createDataFrame(every, "a long, b long"), "pairs")
+    monkeypatch.setattr(simhash_trie, "written", seen)
+    found = []
+    for moved in (1 << 30, 4096):
+        monkeypatch.setattr(simhash_trie, "MOVED", moved)
+        found.append({tuple(r) for r in simhash_trie._may_be_similar(pairs, docs, 0.8, 5).collect()})
+    assert found[0] == found[1] and truth <= found[0] < set(every)
+    assert len(sizes) > 10 and pairs.count() == len(every)
+
+
+def test_short_sketches_are_folded_from_long_ones():
+    own = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 3000, dtype=np.uint64))
+    assert simhash_trie._folded(simhash_trie._parity(own, 8192), 1024) == simhash_trie._parity(own, 1024)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def count():
+        from pathlib import Path
+
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(1 for d in manager.localDirsString() for _ in Path(d).rglob("shuffle_*"))
+
+    setting, before = spark.conf.get(durable.CLEANUP), count()
+    table = durable.written(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.sum("id").alias("n")), "sums")
+    until = time.time() + 20
+    while count() > before and time.time() < until:
+        time.sleep(0.1)
+    assert count() <= before
+    assert table.agg(F.sum("n")).first()[0] == 100_000 * 99_999 // 2 and spark.conf.get(durable.CLEANUP) == setting
+
+
 def test_two_texts_under_one_id_are_both_judged(spark):
     say = lambda name: " ".join(f"{name}{i}" for i in range(60))
     rows = [(1, say("a")), (5, say("a")), (5, say("b")), (5, say("c")), (7, say("c") + " more"), (7, say("d"))]
